@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count
+from . import bpe, html_extract, langid, token_count, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,37 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out()
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs.withColumn("held_out", held), model, carry=("doc_id", "held_out"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+#: The rules that the query judges by.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op4_token_counts": op4_token_counts}
+    return {
+        "op1_bpe": op1_bpe,
+        "op3_language_id": op3_language_id,
+        "op4_token_counts": op4_token_counts,
+        "op9_url_filter": op9_url_filter,
+        "op10_html_extract": op10_html_extract,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
