@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, token_count, url_filter
+from . import bpe, decontaminate, html_extract, langid, quality, token_count, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return quality.resample(table(spark, sf_dir, "documents"), good)
+
+
 #: The rules that the query judges by.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
 
@@ -50,6 +59,8 @@ def queries() -> dict[str, Query]:
         "op1_bpe": op1_bpe,
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
+        "op6_decontamination": op6_decontamination,
+        "op8_importance_resampling": op8_importance_resampling,
         "op9_url_filter": op9_url_filter,
         "op10_html_extract": op10_html_extract,
     }
