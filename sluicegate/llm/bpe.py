@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gather, starts_of
+from .common import chunks, gather, map_arrow, starts_of
 
 #: Most words kept with their tokens in one worker; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
@@ -249,4 +249,4 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 columns += [pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (bpe.decimal_batch(ids, counts), decoded)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, "ids_sha256", "decoded_sha256"])
 
-    return kept.mapInArrow(run, ", ".join(fields))
+    return map_arrow(kept, run, ", ".join(fields))

@@ -4,10 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package once a context, so that workers import it (and keep module caches) anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_sluicegate_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="sluicegate-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._sluicegate_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +62,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sluicegate-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def chunks(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items with about `most` units of length each, one item at least."""
     n, start = len(lengths), 0
@@ -65,3 +98,42 @@ def gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[n
     take = np.arange(out[-1], dtype=np.int64)
     take += np.repeat(begin - out[:-1], size)
     return values[take], size
+
+
+#: Ids up to this many (16 bytes each in a broadcast) are sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A narrow table for the build side of a join: broadcast if counted small, else hashed by partition."""
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("shuffle_hash")
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node, component of every node of the edges (u, v): the least node that links reach.
+
+    Alternating large-star and small-star steps: each node hands its neighbours to the least of
+    them. Every step groups by node with partial aggregation and halves long chains, so a star
+    or a chain of any size ends in a logarithmic number of steps; nothing is collected.
+    """
+
+    def both(e: DataFrame) -> DataFrame:
+        return e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    state = None
+    while True:
+        pairs = both(now)
+        low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = pairs.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.unionAll(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = staged(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        new = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        if new == state:
+            break
+        state = new
+    nodes = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    return staged(nodes.unionAll(nodes.select(F.col("component").alias("node"), "component").distinct()), name)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 
 def plain_forms(texts: list[str]) -> list[str]:
     """The common form of each text, as one character for each byte, with a space at either end."""
@@ -169,7 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, short: in
                         ends.append(end)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.int32()), pa.array(distances, pa.int32()), pa.array(lengths, pa.int32()), pa.array(ends, pa.int64())], ["__id", "__item", "distance", "item_length", "passage_end"])
 
-        parts.append(kept.mapInArrow(run, schema).join(F.broadcast(names), "__item").select(F.col("__id").alias(id_col), item_col, "distance", "item_length", "passage_end"))
+        parts.append(map_arrow(kept, run, schema).join(F.broadcast(names), "__item").select(F.col("__id").alias(id_col), item_col, "distance", "item_length", "passage_end"))
     if not parts:
         return spark.createDataFrame([], f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {item_type}, distance int, item_length int, passage_end long")
     return reduce(DataFrame.unionAll, parts)

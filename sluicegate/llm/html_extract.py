@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
@@ -221,4 +223,4 @@ def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = (
             texts = [main_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"])
 
-    return kept.mapInArrow(run, ", ".join([*fields, "text string", "n_chars long"]))
+    return map_arrow(kept, run, ", ".join([*fields, "text string", "n_chars long"]))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, map_arrow
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = labelled.select(F.col(text_col), F.col(lang_col).cast("string")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_arrow(labelled.select(F.col(text_col), F.col(lang_col).cast("string")), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(per_lang)
     counts = np.zeros((len(languages), BUCKETS))
     if languages:
@@ -161,4 +161,4 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry
             names, scores = shared.value.score(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return kept.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return map_arrow(kept, run, ", ".join([*fields, "lang_pred string", "score double"]))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import chunks, staged
+from .common import chunks, map_arrow, staged
 
 BUCKETS = 1 << 16
 CHUNK_BYTES = 1_500_000
@@ -60,7 +60,7 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at], pa.int64()), pa.array(good[at], pa.int64())], ["bucket", "raw", "good"])
 
-    rows = marked.mapInArrow(count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    rows = map_arrow(marked, count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     raw, good = np.full(BUCKETS, smoothing), np.full(BUCKETS, smoothing)
     raw[rows.column("bucket").to_numpy()] += rows.column("raw").to_numpy()
     good[rows.column("bucket").to_numpy()] += rows.column("good").to_numpy()
@@ -83,7 +83,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", carry: tu
                 size[a:b] = np.bincount(owner, minlength=b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64()), pa.array(total, pa.float64())], [*batch.schema.names[:-1], "n_features", "log_weight"])
 
-    return kept.mapInArrow(run, ", ".join([*fields, "n_features long", "log_weight double"]))
+    return map_arrow(kept, run, ", ".join([*fields, "n_features long", "log_weight double"]))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 2048) -> float | None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_chars
-from .common import chunks, starts_of
+from .common import chunks, map_arrow, starts_of
 
 CACHE_PIECES = 500_000
 CHUNK_CHARS = 2_000_000
@@ -139,4 +139,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 size = pa.array([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts[a:b]], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), size, pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], [key.name, "n_bytes", "n_tokens", "over_limit"])
 
-    return kept.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_arrow(kept, run, f"`{key.name}` {key.dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
