@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, langid, ngram_join, quality, token_count, url_filter
+from . import bpe, decontaminate, html_extract, langid, ngram_join, quality, suffix_dedup, token_count, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
     return quality.resample(table(spark, sf_dir, "documents"), good)
@@ -65,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
         "op6_decontamination": op6_decontamination,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_importance_resampling": op8_importance_resampling,
         "op9_url_filter": op9_url_filter,
         "op10_html_extract": op10_html_extract,
