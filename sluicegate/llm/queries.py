@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, ngram_join, quality, suffix_dedup, token_count, url_filter
+from . import bpe, decontaminate, html_extract, langid, ngram_join, quality, suffix_dedup, token_count, topk_search, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0, k=10)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op2_ngram_join": op2_ngram_join,
         "op3_language_id": op3_language_id,
         "op4_token_counts": op4_token_counts,
+        "op5_topk_search": op5_topk_search,
         "op6_decontamination": op6_decontamination,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_importance_resampling": op8_importance_resampling,
