@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that goes to a worker, where the session has Spark's default of 64 MB.
+ARROW_BYTES, ARROW_BYTES_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(4 << 20)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package once a context, so that workers import it (and keep module caches) anywhere."""
     context = spark.sparkContext
@@ -28,8 +32,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers."""
-    ship(df.sparkSession)
+    """mapInArrow with this package on the workers, fed with batches of bounded bytes (texts are long)."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(ARROW_BYTES) == ARROW_BYTES_DEFAULT:
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
 
