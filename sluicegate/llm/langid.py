@@ -153,12 +153,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in `carry` and lang_pred, score; only the text is an input of the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*(F.col(c) for c in carry), F.col(text_col).alias("__text"))
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields[:-1]]
+    kept = docs.select(*(F.col(c) for c in carry), *(() if text_col in carry else (F.col(text_col).alias("__text"),)))
+    place = carry.index(text_col) if text_col in carry else len(carry)
+    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields[: len(carry)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.score(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+            names, scores = shared.value.score(batch.column(place).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[: len(carry)], "lang_pred", "score"])
 
     return map_arrow(kept, run, ", ".join([*fields, "lang_pred string", "score double"]))
