@@ -158,21 +158,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
 
 
-def _paired(batches: Iterator[pa.RecordBatch], pivots: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, comp, node) sorted by sig: pairs of the first `pivots` rows of a bucket with all after
-    them that are of another group (rows with null sig), and the rows that were no pivots (b null)."""
+def _paired(batches: Iterator[pa.RecordBatch], pivots: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, comp, node, n, s) sorted by sig: pairs of the first `pivots` rows of a bucket with all after
+    them that are of another group and may be similar (sig is null), and the rows that were no pivots (b is null).
+
+    n is a set's size and s how many of its elements any other set has: two sets share min(s, s') elements at most.
+    """
     bucket, held = None, []
     for batch in batches:
         a, b, rest_sig, rest_node = [], [], [], []
-        for sig, comp, node in zip(*(batch.column(k).to_numpy().tolist() for k in range(3)), strict=True):
+        for sig, comp, node, n, s in zip(*(batch.column(k).to_numpy().tolist() for k in range(5)), strict=True):
             if sig != bucket:
                 bucket, held = sig, []
-            for own, pivot in held:
-                if own != comp:
+            for own, pivot, m, t in held:
+                if own != comp and (s if s < t else t) * (100 + percent) >= percent * (n + m):
                     a.append(min(pivot, node))
                     b.append(max(pivot, node))
             if len(held) < pivots:
-                held.append((comp, node))
+                held.append((comp, node, n, s))
             else:
                 rest_sig.append(sig)
                 rest_node.append(node)
@@ -188,6 +191,19 @@ def _pair_rows(a: list[int], b: list[int], sig: list[int], node: list[int]) -> p
     return pa.RecordBatch.from_arrays([both(none(len(a)), pa.array(sig, pa.int64())), both(pa.array(a, pa.int64()), pa.array(node, pa.int64())), both(pa.array(b, pa.int64()), none(len(sig)))], ["sig", "a", "b"])
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets (sig) that hold more than one group (comp)."""
+    live = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
+    return rows.join(live, "sig", "left_semi")
+
+
+def _own_elements(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, own: how many elements of each of the nodes' sets no other of these sets has."""
+    elements = held.join(sized(nodes), "node", "left_semi").select("node", F.explode("grams").alias("gram"))
+    single = elements.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("__most")).where("node = __most")
+    return staged(single.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "join-own")
+
+
 def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every document, for links at a similarity of percent / 100."""
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -220,16 +236,24 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
 
     held = staged(source.join(sized(staged(wanted, "join-wanted")), "__id", "left_semi").select("__text").mapInArrow(sets, "node long, grams array<long>"), "join-sets")
 
+    # The more signatures a class shares, the nearer it stands to the middle of its group: those are pivots first.
+    degrees = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    sizes = held.select("node", F.size("grams").alias("n")).distinct()
+    known = staged(degrees.join(sizes, "node"), "join-known")
+    known = sized(known)
     comps, links, pivots = None, None, 1
     while True:
         if comps is None:
-            grouped = buckets.select("sig", F.col("node").alias("comp"), "node")
+            rows_now = buckets.join(known, "node").select("sig", F.col("node").alias("comp"), "node", "n", F.col("n").alias("s"), "degree")
         else:
-            labelled = buckets.join(sized(comps), "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "node")
-            labelled = staged(labelled, "join-labelled")
-            live = labelled.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-            grouped = labelled.join(live, "sig", "left_semi")
-        step = staged(grouped.repartition("sig").sortWithinPartitions("sig", "comp", "node").mapInArrow(lambda it, p=pivots: _paired(it, p), "sig long, a long, b long"), "join-step")
+            labelled = staged(_open(buckets.join(known, "node").join(sized(comps), "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "node", "n", "degree")), "join-open")
+            alone = _own_elements(held, labelled.select("node").distinct())
+            rows_now = labelled.join(sized(alone), "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
+            # A class whose shared elements are too few for even the least set of its bucket has no partner there.
+            least = rows_now.groupBy("sig").agg(F.min("n").alias("least"))
+            rows_now = _open(rows_now.join(least, "sig").where((F.col("s") * (100 + percent)) >= (F.col("n") + F.col("least")) * percent).drop("least"))
+        ordered = rows_now.repartition("sig").sortWithinPartitions("sig", F.desc("degree"), "node").select("sig", "comp", "node", F.col("n").cast("long"), F.col("s").cast("long"))
+        step = staged(ordered.mapInArrow(lambda it, p=pivots: _paired(it, p, percent), "sig long, a long, b long"), "join-step")
         pairs = step.where("b IS NOT NULL").select("a", "b").distinct()
         left, right = (held.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
         common = F.size(F.array_intersect("ga", "gb"))
@@ -240,7 +264,7 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
         links = found if links is None else links.unionAll(found)
         if not found.isEmpty():
             comps = components(links, "join-components")
-        if comps is not None and pivots > 1:
+        if pivots > 1:
             dropped(labelled)
         buckets = step.where("b IS NULL").select("sig", F.col("a").alias("node"))
         if buckets.isEmpty():
