@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +26,8 @@ def build_session(app: str = "sluicegate", master: str | None = None, **extra: s
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (one machine)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluicegate-")).rstrip("/")
