@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, langid, ngram_join, quality, suffix_dedup, token_count, topk_search, url_filter
+from . import bpe, decontaminate, html_extract, langid, ngram_join, oracles, quality, suffix_dedup, token_count, topk_search, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
