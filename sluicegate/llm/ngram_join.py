@@ -5,8 +5,8 @@ with similarity s or more differ in at most (a + b) (1 - s) / (1 + s) elements.
 [l, l / s]; a pair lies in one band or two neighbouring ones, so each set is signed for its
 own band and the next, with k the greatest difference there. The element domain is parted by
 hash into h + 1 + 2 m parts (h = k // 2, m = h // 8): two such sets agree but for one difference at
-most in 2 m + 1 of them. Each set leaves out its m smallest parts, which say least, so one
-agreeing part is left in both. Each part has three cells: leaving out each cell in turn gives
+most in 2 m + 1 of them. Each set leaves out the m parts whose signatures hold fewest elements, which
+say least, so one agreeing part is left in both. Each part has three cells: leaving out each cell in turn gives
 three signatures a part, one of which a similar pair shares. Sets that share one are compared exactly.
 
 Texts with one set are one class, so copies cost nothing beyond their first pass. Within a bucket of
@@ -81,11 +81,9 @@ class Bands:
     def of(self, sizes: np.ndarray) -> np.ndarray:
         """Band of each size, from 0; sizes are at least 1."""
         top = int(sizes.max(initial=1))
-        while self.low[-1] <= top or len(self.most) < len(self.low) + 1:
+        while len(self.low) < 3 or self.low[-3] <= top:
             self.low.append(self.low[-1] * 100 // self.percent + 1)
-            self.most = [2 * (x - 1) * (100 - self.percent) // (100 + self.percent) for x in self.low[1:]]
-            if self.low[-2] > top and len(self.most) >= 2:
-                break
+        self.most = [2 * (x - 1) * (100 - self.percent) // (100 + self.percent) for x in self.low[1:]]
         return np.searchsorted(np.array(self.low), sizes, side="right") - 1
 
 
@@ -111,7 +109,8 @@ def signatures(grams: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.n
         sums = sums.reshape(-1, CELLS)
         mine = np.repeat(np.arange(len(sizes)), parts)
         number = np.arange(at[-1]) - at[mine]
-        held = np.bincount(row, minlength=at[-1])
+        held = np.bincount(row * CELLS + cell, minlength=at[-1] * CELLS).reshape(-1, CELLS)
+        held = held.sum(axis=1) - held.max(axis=1)  # elements in the least of the part's signatures
         order = np.argsort(mine * (int(held.max(initial=0)) + 1) + held, kind="stable")
         left = np.sort(order[number >= spare[mine]])  # in that order too, `number` counts within a set
         sums, mine, number = sums[left], mine[left], number[left]
@@ -158,24 +157,51 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
 
 
-def _paired(batches: Iterator[pa.RecordBatch], pivots: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, comp, node, n, s) sorted by sig: pairs of the first `pivots` rows of a bucket with all after
-    them that are of another group and may be similar (sig is null), and the rows that were no pivots (b is null).
+def sketches(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set, the parities of its elements in as many cells as the next power of two from twice its size.
 
-    n is a set's size and s how many of its elements any other set has: two sets share min(s, s') elements at most.
+    An element that only one of two sets has changes one parity, so sets differ in as many elements at
+    least as their sketches in bits. A longer sketch folds onto a shorter one by exclusive or of its halves.
     """
+    out, at = [], starts_of(sizes).tolist()
+    place = wordhash.mix(grams ^ _CELL)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        bits = max(64, 1 << max(0, 2 * (b - a) - 1).bit_length())
+        odd = np.bincount((place[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """False only where sets of sizes n and m with these sketches are surely less similar than percent / 100."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    long, short = (x, y) if len(x) >= len(y) else (y, x)
+    value, size = int.from_bytes(long, "little"), len(long)
+    while size > len(short):
+        size //= 2
+        value = (value & ((1 << 8 * size) - 1)) ^ (value >> 8 * size)
+    return (value ^ int.from_bytes(short, "little")).bit_count() * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _paired(batches: Iterator[pa.RecordBatch], pivots: int, percent: int, sketched: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, comp, node, n, sketch) sorted by sig: pairs of the first `pivots` rows of a bucket with all after
+    them that are of another group and may be similar (sig is null), and the rows that were no pivots (b is null)."""
     bucket, held = None, []
     for batch in batches:
         a, b, rest_sig, rest_node = [], [], [], []
-        for sig, comp, node, n, s in zip(*(batch.column(k).to_numpy().tolist() for k in range(5)), strict=True):
+        columns = [batch.column(k).to_pylist() for k in range(5 if sketched else 4)]
+        if not sketched:
+            columns.append([b""] * batch.num_rows)
+        for sig, comp, node, n, sketch in zip(*columns, strict=True):
             if sig != bucket:
                 bucket, held = sig, []
-            for own, pivot, m, t in held:
-                if own != comp and (s if s < t else t) * (100 + percent) >= percent * (n + m):
+            for own, pivot, m, other in held:
+                if own != comp and (not sketched or may_link(n, sketch, m, other, percent)):
                     a.append(min(pivot, node))
                     b.append(max(pivot, node))
             if len(held) < pivots:
-                held.append((comp, node, n, s))
+                held.append((comp, node, n, sketch))
             else:
                 rest_sig.append(sig)
                 rest_node.append(node)
@@ -185,6 +211,14 @@ def _paired(batches: Iterator[pa.RecordBatch], pivots: int, percent: int) -> Ite
         yield _pair_rows(a, b, rest_sig, rest_node)
 
 
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, n, x, m, y): those that their sketches don't rule out."""
+    for batch in batches:
+        n, x, m, y = (batch.column(k).to_pylist() for k in range(2, 6))
+        keep = pa.array([may_link(*v, percent) for v in zip(n, x, m, y, strict=True)], pa.bool_())
+        yield batch.select(["a", "b"]).filter(keep)
+
+
 def _pair_rows(a: list[int], b: list[int], sig: list[int], node: list[int]) -> pa.RecordBatch:
     none = lambda n: pa.nulls(n, pa.int64())
     both = lambda x, y: pa.concat_arrays([x, y])
@@ -197,13 +231,6 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(live, "sig", "left_semi")
 
 
-def _own_elements(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, own: how many elements of each of the nodes' sets no other of these sets has."""
-    elements = held.join(sized(nodes), "node", "left_semi").select("node", F.explode("grams").alias("gram"))
-    single = elements.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("__most")).where("node = __most")
-    return staged(single.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "join-own")
-
-
 def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every document, for links at a similarity of percent / 100."""
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -225,8 +252,15 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
     signed = map_arrow(singles.select("__text"), lambda it: _signed(it, n, percent), "sig long, node long")
     buckets = staged(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "join-buckets")
 
-    # The sets of the classes that share a signature with another, by one document each.
-    wanted = buckets.select("node").distinct().join(classes, "node").select(F.col("least").alias("__id"))
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        """One text of each class."""
+        ids = nodes.join(classes, "node").select(F.col("least").alias("__id"))
+        return source.join(sized(staged(ids, name)), "__id", "left_semi").select("__text")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, grams, sizes in gram_sets(batch.column(0).to_pylist(), n):
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(grams, sizes).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches(grams, sizes), pa.binary())], ["node", "n", "sketch"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,38 +268,36 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
                 values = pa.ListArray.from_arrays(pa.array(starts_of(sizes), pa.int32()), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(grams, sizes).view(np.int64)), values], ["node", "grams"])
 
-    held = staged(source.join(sized(staged(wanted, "join-wanted")), "__id", "left_semi").select("__text").mapInArrow(sets, "node long, grams array<long>"), "join-sets")
-
     # The more signatures a class shares, the nearer it stands to the middle of its group: those are pivots first.
-    degrees = buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    sizes = held.select("node", F.size("grams").alias("n")).distinct()
-    known = staged(degrees.join(sizes, "node"), "join-known")
-    known = sized(known)
+    degrees = staged(buckets.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "join-degrees")
+    facts = map_arrow(texts_of(degrees.select("node"), "join-met"), sketched, "node long, n long, sketch binary")
+    facts = staged(facts.dropDuplicates(["node"]).join(degrees, "node"), "join-facts")
+    ranks = sized(facts.select("node", "degree", "n"))
+
     comps, links, pivots = None, None, 1
     while True:
-        if comps is None:
-            rows_now = buckets.join(known, "node").select("sig", F.col("node").alias("comp"), "node", "n", F.col("n").alias("s"), "degree")
+        later = pivots > 1
+        if not later:
+            rows_now = buckets.join(ranks, "node").select("sig", F.col("node").alias("comp"), "node", "n", "degree")
         else:
-            labelled = staged(_open(buckets.join(known, "node").join(sized(comps), "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "node", "n", "degree")), "join-open")
-            alone = _own_elements(held, labelled.select("node").distinct())
-            rows_now = labelled.join(sized(alone), "node", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
-            # A class whose shared elements are too few for even the least set of its bucket has no partner there.
-            least = rows_now.groupBy("sig").agg(F.min("n").alias("least"))
-            rows_now = _open(rows_now.join(least, "sig").where((F.col("s") * (100 + percent)) >= (F.col("n") + F.col("least")) * percent).drop("least"))
-        ordered = rows_now.repartition("sig").sortWithinPartitions("sig", F.desc("degree"), "node").select("sig", "comp", "node", F.col("n").cast("long"), F.col("s").cast("long"))
-        step = staged(ordered.mapInArrow(lambda it, p=pivots: _paired(it, p, percent), "sig long, a long, b long"), "join-step")
+            labelled = buckets.join(sized(comps), "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "node")
+            rows_now = _open(staged(labelled, "join-open")).join(facts, "node")
+        ordered = rows_now.repartition("sig").sortWithinPartitions("sig", F.desc("degree"), "node").select("sig", "comp", "node", "n", *(["sketch"] if later else []))
+        step = staged(ordered.mapInArrow(lambda it, p=pivots, later=later: _paired(it, p, percent, later), "sig long, a long, b long"), "join-step")
         pairs = step.where("b IS NOT NULL").select("a", "b").distinct()
+        if not later:  # otherwise the sketches were seen already
+            x, y = facts.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), facts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+            pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(lambda it: _likely(it, percent), "a long, b long")
+        pairs = staged(pairs, "join-pairs")
+        needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        held = staged(map_arrow(texts_of(needed, "join-wanted"), sets, "node long, grams array<long>").dropDuplicates(["node"]), "join-sets")
         left, right = (held.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
-        common = F.size(F.array_intersect("ga", "gb"))
-        # Sizes first, so that few arrays are compared.
-        fits = F.least(F.size("ga"), F.size("gb")) * 100 >= F.greatest(F.size("ga"), F.size("gb")) * percent
-        alike = common * (100 + percent) >= (F.size("ga") + F.size("gb")) * percent
-        found = staged(pairs.join(left, "a").join(right, "b").where(F.when(fits, alike).otherwise(F.lit(False))).select(F.col("a").alias("u"), F.col("b").alias("v")), "join-links")
+        alike = F.size(F.array_intersect("ga", "gb")) * (100 + percent) >= (F.size("ga") + F.size("gb")) * percent
+        found = staged(pairs.join(left, "a").join(right, "b").where(alike).select(F.col("a").alias("u"), F.col("b").alias("v")), "join-links")
+        dropped(held, pairs)
         links = found if links is None else links.unionAll(found)
         if not found.isEmpty():
             comps = components(links, "join-components")
-        if pivots > 1:
-            dropped(labelled)
         buckets = step.where("b IS NULL").select("sig", F.col("a").alias("node"))
         if buckets.isEmpty():
             break
@@ -273,7 +305,7 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
             comps = buckets.sparkSession.createDataFrame([], "node long, component long")
         pivots *= 32
 
-    dropped(held, step)
+    dropped(facts, step)
     ids = classes.select("node", "least")
     if comps is not None and not comps.isEmpty():
         ids = ids.join(sized(comps), "node", "left").withColumn("__comp", F.coalesce("component", "node"))
