@@ -32,7 +32,7 @@ CACHE_WORDS = 400_000
 #: Characters of text worked on at a time in one worker.
 CHUNK_CHARS = 2_000_000
 #: Up to here lower-casing and letter classes of all Unicode versions agree, and NFC changes nothing.
-_PLAIN = regex.compile(r"[^\x00-ɏ‐-‧€]")
+PLAIN = regex.compile(r"[^\x00-ɏ‐-‧€]")
 
 
 def byte_chars() -> list[str]:
@@ -162,7 +162,7 @@ class WordBPE:
         return self.words_of(text)
 
     def words_of(self, text: str) -> list[str]:
-        if text.isascii() or not _PLAIN.search(text):
+        if text.isascii() or not PLAIN.search(text):
             return self._words.findall(text.lower())
         normal = self._library.normalize_str(text)
         return [w for w, _ in self._library_split.pre_tokenize_str(normal)]

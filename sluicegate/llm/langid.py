@@ -93,7 +93,7 @@ class LanguageModel:
                 scores += [0.0] * len(part)
                 continue
             bucket, owner = ngram_buckets(part)
-            total = np.stack([np.bincount(owner, self.log_prob[k][bucket], len(part)) for k in range(len(self.languages))], axis=1)
+            total = np.stack([np.bincount(owner, self.log_prob[k][bucket], len(part)).astype(float) for k in range(len(self.languages))], axis=1)
             seen = np.bincount(owner, minlength=len(part)) > 0
             total += self.log_prior
             best = total.argmax(axis=1)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import byte_chars
+from .bpe import PLAIN, byte_chars
 from .common import chunks, map_arrow, starts_of
 
 CACHE_PIECES = 500_000
@@ -41,7 +41,11 @@ class ByteBPECounter:
         order = np.argsort(keys, kind="stable")
         self._keys, self._rank = keys[order], order.astype(np.int64)
         self._made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        from tokenizers import pre_tokenizers
+
         self._split = regex.compile(SPLIT)
+        self._library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+        self._byte_of = {c: b for b, c in enumerate(byte_chars())}
         special = sorted((t["content"] for t in parsed["added_tokens"]), key=len, reverse=True)
         self._special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self._known: dict[str, int] = {}
@@ -90,6 +94,12 @@ class ByteBPECounter:
             rank[again] = np.where(row[again] == row[again + 1], self._ranks(symbol[again], symbol[again + 1]), _NONE)
         return left
 
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text; beyond the characters on whose classes all Unicode versions agree the library splits."""
+        if text.isascii() or not PLAIN.search(text):
+            return self._split.findall(text)
+        return [bytes(map(self._byte_of.__getitem__, p)).decode("utf-8", "surrogatepass") for p, _ in self._library.pre_tokenize_str(text)]
+
     def count_batch(self, texts: list[str]) -> np.ndarray:
         if len(self._known) > CACHE_PIECES:
             self._known = {}
@@ -101,7 +111,7 @@ class ByteBPECounter:
             if self._special is not None and "<" in text:
                 parts = self._special.split(text)
                 extra[k] = len(parts) - 1
-            found = [p for part in parts for p in self._split.findall(part)]
+            found = [p for part in parts for p in self.pieces(part)]
             sizes[k] = len(found)
             flat += found
         new = list(set(flat).difference(self._known))
