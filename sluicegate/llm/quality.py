@@ -1,9 +1,9 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed word uni- and bigrams: one of the target texts (labelled
-good), one of all raw texts. A text's log weight is the sum of the log ratios of its n-grams;
-adding Gumbel noise drawn from a hash of its id and taking the top k is sampling without
-replacement in proportion to the weights. The k-th largest key is found exactly by narrowing
+good), one of all raw texts. A text's log weight is the sum of the log ratios of its n-grams, brought
+to one length for sampling; adding Gumbel noise drawn from a hash of its id and taking the top k is
+sampling without replacement in proportion to the weights. The k-th largest key is found exactly by narrowing
 histograms, so no rows are sorted or gathered in one place.
 
 Edge cases: a null or empty text has weight 0 (log), as do all texts when there is no target; repeated
@@ -105,11 +105,17 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 2048) -> float
     return low
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_features, log_weight, sample_key and selected of every document; ceil(fraction * n) are selected."""
+def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = 0.6, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_features, log_weight, sample_key and selected of every document; ceil(fraction * n) are selected.
+
+    Weights are compared at one length: a text's log weight an n-gram, times the mean number of n-grams
+    of all texts, so that length alone neither saves a bad text nor costs a good one its place.
+    """
     ratios = log_ratios(docs, target_ids, id_col, text_col)
+    weighed = staged(weigh(docs, ratios, text_col, (id_col,)), "quality-weights")
+    n, mean = weighed.agg(F.count(F.lit(1)), F.avg("n_features")).first()
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keyed = staged(weigh(docs, ratios, text_col, (id_col,)).withColumn("sample_key", F.col("log_weight") - F.log(-F.log(uniform))), "quality-keys")
-    n = keyed.count()
+    level = F.col("log_weight") / F.greatest("n_features", F.lit(1)) * F.lit(mean or 0.0)
+    keyed = weighed.withColumn("sample_key", level - F.log(-F.log(uniform)))
     limit = kth_largest(keyed, "sample_key", -int(-n * fraction // 1))
     return keyed.withColumn("selected", F.lit(False) if limit is None else F.col("sample_key") >= F.lit(limit))
