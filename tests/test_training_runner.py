@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from sluicegate.operators import decision_log, features, retrain, splits, training
 from sluicegate.operators.decisions import decide, linear_score, with_table_score
 from sluicegate.operators.triage import BudgetSpent, Circuit, CircuitOpen, DailyBudget, TriageAgent, client_from, grounded, parse_reply, strip_fence
-from sluicegate.plans.policy import LinearPolicy, load, publish
+from sluicegate.plans.policy import LinearPolicy, PolicyHolder, load, publish
 from sluicegate.schema import EventMapping, InvalidDataset, canonical, clean_label
 from sluicegate.streaming import stateful
-from sluicegate.streaming.runner import run_cycle
+from sluicegate.streaming.runner import decide_stream, run_cycle
 
 
 def stream_rows(spark, n=1500, seed=1, late_fraud=None):
@@ -131,6 +131,27 @@ def test_stream_matches_batch_over_restart(spark, tmp_path):
     assert got[9999]["late"] and not got[9999]["invalid"] and got[10000]["invalid"]
 
 
+def test_stream_decides_once_and_reloads(spark, tmp_path):
+    rows = stream_rows(spark, 200).drop("label")
+    source, log = tmp_path / "in", str(tmp_path / "log")
+    rows.coalesce(1).write.parquet(str(source))
+    publish(LinearPolicy(("amount", "ewma_account"), (0.1, 0.0), -20.0, 0.5), tmp_path / "p.json")
+    holder = PolicyHolder(tmp_path / "p.json")
+
+    def run():
+        stream = stateful.account_features(spark.readStream.schema(rows.schema).parquet(str(source)), {"a": 1.0})
+        decide_stream(stream, holder, log, str(tmp_path / "check")).awaitTermination()
+
+    run()
+    late = spark.createDataFrame([(7000, 0.0, 1, "a", 5.0), (7001, 1e9, 1, "a", 900.0), (3, 1e9 + 1, 1, "a", 900.0)], rows.schema)
+    late.coalesce(1).write.mode("append").parquet(str(source))
+    publish(LinearPolicy(("amount", "ewma_account"), (0.1, 0.0), -20.0, 0.9), tmp_path / "p.json")
+    run()
+    got = {r["row_index"]: r for r in decision_log.read(spark, log).collect()}
+    assert len(got) == 202 and got[7000]["decision_type"] == "executor_error" and got[7001]["suspicious"]
+    assert (got[3]["policy_version"], got[7001]["policy_version"]) == (1, 2)  # row 3 was logged before
+
+
 def test_canonical(spark):
     df = spark.createDataFrame([(1, "'1'", 2.0)], "i long, y string, x double")
     assert df.select(clean_label("y").alias("y")).first()["y"] == 1
