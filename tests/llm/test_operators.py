@@ -315,6 +315,17 @@ def test_repeats_match_brute_force(spark):
     assert not repeated([r.text for r in left], 50)
 
 
+def test_repeats_of_a_very_common_passage(spark, monkeypatch):
+    """A passage that most texts hold goes another way than the sort: the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 50)
+    rng = np.random.default_rng(3)
+    common_words = words(rng, 90, 5000)
+    texts = [" ".join(words(rng, 25, 5000) + common_words[: int(rng.integers(50, 91))] + words(rng, 10, 5000)) for _ in range(300)] + corpus(8)
+    docs = documents(spark, texts).coalesce(2)
+    got = {r.doc_id: (r.n_words, r.n_repeated, r.n_later) for r in suffix_dedup.repeats(docs).collect()}
+    assert got == repeated(texts, 50)
+
+
 def test_repeats_odd_rows(spark):
     docs = odd_docs(spark)
     got = {r.doc_id: r for r in suffix_dedup.repeats(docs).collect()}
@@ -407,6 +418,18 @@ def test_propagation_matches_numpy(spark):
     assert {x.verdict for x in judged.values() if x.rule is None} == {"allow", "block"}
 
 
+def test_pages_with_odd_rows(spark):
+    rows = [(1, None, None, "h", "p", "r", "v", "t", 3), (None, "", "", "h", "p", "r", "v", "t", 3), (1, None, None, "h", "p", "r", "v", "t", 3), (2, "http://a.com/en/1", '<a href="//b.com/">x</a>' * 2, None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, f"{PAGES}, host string, path string, rule string, verdict string, text string, n_chars long")
+    judged = url_filter.judge(pages, queries.URL_RULES)
+    assert judged.columns == ["page_id", "host", "path", "rule", "verdict"] and judged.count() == 4
+    assert judged.where("page_id = 1 AND host = '' AND verdict = 'allow'").count() == 2
+    text = html_extract.extract(pages)
+    assert text.columns == ["page_id", "url", "text", "n_chars"] and text.where("text = '' AND n_chars = 0").count() == 3
+    for empty in (url_filter.judge(pages.where("false"), queries.URL_RULES), html_extract.extract(pages.where("false"))):
+        assert empty.count() == 0
+
+
 # HTML
 
 
