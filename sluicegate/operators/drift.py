@@ -27,7 +27,11 @@ def verdict(psi: Column) -> Column:
 
 def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """feature, psi. Edges are the distinct percentiles; the outer bins are open; an empty bin counts as a small share."""
-    ref, cur = unpivoted(reference, features), unpivoted(current, features)
+    return psi_of_rows(unpivoted(reference, features), unpivoted(current, features), bins)
+
+
+def psi_of_rows(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
+    """The same for rows (feature, value) of both sides; a feature may be any key, as a pair of periods."""
     steps = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
     edges = ref.groupBy("feature").agg(F.array_distinct(F.percentile("value", steps)).alias("edges"))  # one row a feature
     inner = F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2)).otherwise(F.array().cast("array<double>"))
@@ -105,3 +109,12 @@ def weighted(found: DataFrame, coefficients: dict[str, float]) -> DataFrame:
 def weighted_share(found: DataFrame, coefficients: dict[str, float]) -> DataFrame:
     """share: the weight that lies on drifting features, 0 where there is none."""
     return weighted(found, coefficients).agg(F.coalesce(F.sum(F.when(F.col("significant"), F.col("weight"))), F.lit(0.0)).alias("share"))
+
+
+def psi_by_period(df: DataFrame, period: str, value: str, bins: int = 10) -> DataFrame:
+    """period, psi and verdict of each period's values against those of the period before it (periods are whole numbers)."""
+    rows = df.select(F.col(period).cast("long").alias("p"), F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    known = rows.select("p").distinct()
+    pairs = F.broadcast(known.select((F.col("p") + 1).alias("p")).intersect(known))
+    found = psi_of_rows(rows.withColumn("feature", F.col("p") + 1).join(pairs.withColumnRenamed("p", "feature"), "feature").select("feature", "value"), rows.withColumnRenamed("p", "feature").join(pairs.withColumnRenamed("p", "feature"), "feature").select("feature", "value"), bins)
+    return found.select(F.col("feature").alias("period"), "psi", verdict(F.col("psi")).alias("verdict"))

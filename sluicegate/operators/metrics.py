@@ -25,26 +25,26 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float, keys: tup
     return out.withColumn("f1", safe_ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def score_table(df: DataFrame, score: str, label: str, amount: str | None = None) -> DataFrame:
-    """One row a distinct score: pos, neg, amount of positives (missed if the score is below the threshold)."""
+def score_table(df: DataFrame, score: str, label: str, amount: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row a distinct score (of each key): pos, neg, amount of positives (missed if the score is below the threshold)."""
     yes = F.col(label) == 1
     money = F.sum(F.when(yes, F.col(amount)).otherwise(0.0)) if amount else F.lit(0.0)
     rows = df.where(F.col(score).isNotNull() & ~F.isnan(score))
-    return rows.groupBy(F.col(score).alias("score")).agg(F.count_if(yes).alias("pos"), F.count_if(~yes).alias("neg"), money.alias("pos_amount"))
+    return rows.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(yes).alias("pos"), F.count_if(~yes).alias("neg"), money.alias("pos_amount"))
 
 
-def cumulative(table: DataFrame) -> DataFrame:
-    """For each distinct score: tp, fp and amount at scores >= it, and the totals p, n, total_amount."""
+def cumulative(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """For each distinct score (of each key): tp, fp and amount at scores >= it, and the totals p, n, total_amount."""
     bucket = F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS))
     rows = table.withColumn("__b", bucket)
     names = (("pos", "tp"), ("neg", "fp"), ("pos_amount", "amount_at"))
-    sums = rows.groupBy("__b").agg(*(F.sum(a).alias(f"__{a}") for a, _ in names))  # bounded by BUCKETS + 1 rows
-    above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(1))
-    sums = sums.select("__b", *(F.coalesce(F.sum(f"__{a}").over(above), F.lit(0)).alias(f"__up_{a}") for a, _ in names), *(F.sum(f"__{a}").over(every).alias(t) for (a, _), t in zip(names, ("p", "n", "total_amount"), strict=True)))
-    inside = Window.partitionBy("__b").orderBy(F.desc("score"))
+    sums = rows.groupBy(*keys, "__b").agg(*(F.sum(a).alias(f"__{a}") for a, _ in names))  # bounded by BUCKETS + 1 rows
+    above = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    sums = sums.select(*keys, "__b", *(F.coalesce(F.sum(f"__{a}").over(above), F.lit(0)).alias(f"__up_{a}") for a, _ in names), *(F.sum(f"__{a}").over(every).alias(t) for (a, _), t in zip(names, ("p", "n", "total_amount"), strict=True)))
+    inside = Window.partitionBy(*keys, "__b").orderBy(F.desc("score"))
     rows = rows.withColumns({b: F.sum(a).over(inside) for a, b in names})
-    return rows.join(F.broadcast(sums), "__b").select("score", "pos", "neg", *((F.col(b) + F.col(f"__up_{a}")).alias(b) for a, b in names), "p", "n", "total_amount")
+    return rows.join(sums if keys else F.broadcast(sums), [*keys, "__b"]).select(*keys, "score", "pos", "neg", *((F.col(b) + F.col(f"__up_{a}")).alias(b) for a, b in names), "p", "n", "total_amount")
 
 
 def pr_curve(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -73,10 +73,10 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return c.agg(F.try_divide(wins, F.max("p") * F.max("n").cast("double")).alias("auc"))
 
 
-def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    """ap: sum over distinct scores of precision times the gain in recall."""
-    c = cumulative(score_table(df, score, label))
-    return c.agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("p").cast("double")).alias("ap"))
+def average_precision(df: DataFrame, score: str, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """ap (of each key): sum over distinct scores of precision times the gain in recall."""
+    c = cumulative(score_table(df, score, label, keys=keys), keys)
+    return c.groupBy(*keys).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("p").cast("double")).alias("ap"))
 
 
 def expected_cost(df: DataFrame, score: str, label: str, amount: str, threshold: float, false_alarm: float) -> DataFrame:

@@ -461,6 +461,25 @@ def stream_parity(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows").select("seq", _round("ewma_account"), _round("footprint"))
 
 
+@register(f"WITH {EV}, {CURVE.replace('FROM s GROUP BY score', 'FROM s GROUP BY category, score').replace('SELECT score, sum(label)', 'SELECT category, score, sum(label)').replace('OVER (ORDER BY score DESC)', 'OVER (PARTITION BY category ORDER BY score DESC)').replace('OVER ()', 'OVER (PARTITION BY category)')} SELECT category, round(sum(pos / p::DOUBLE * tp / (tp + fp)::DOUBLE), 9) AS ap FROM c GROUP BY category")
+def avg_precision_by_category(spark, sf_dir):
+    return metrics.average_precision(plain_scores(spark, sf_dir), "score", "label", ("category",)).select("category", _round("ap", 9))
+
+
+@register(f"WITH RECURSIVE ev AS (SELECT * REPLACE ({PLAIN_SCORE} AS amount) FROM (SELECT event_id AS seq, epoch_us(ts) / 1e6 AS t, user_id AS account, value AS amount FROM events)), {APOS}, {AEWMA} SELECT seq, round(0.98 * ra.f + (1 - 0.98::DOUBLE) * ev.amount, 6) AS smoothed FROM ev JOIN ra USING (seq)")
+def smoothed_score(spark, sf_dir):
+    rows = feats.ewma_account(plain_scores(spark, sf_dir).withColumn("amount", F.col("score")))
+    return rows.select("seq", F.round(feats.DECAY * F.col("ewma_account") + (1 - feats.DECAY) * F.col("amount"), 6).alias("smoothed"))
+
+
+@register(
+    "WITH o AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS p, o_totalprice AS v FROM orders), e AS (SELECT p + 1 AS period, list_sort(list_distinct([" + ", ".join(f"quantile_cont(v, {k / 10})" for k in range(11)) + "])) AS a FROM o GROUP BY p), i AS (SELECT period, a[2:len(a) - 1] AS ie FROM e WHERE period IN (SELECT p FROM o)), sp AS (SELECT period, unnest(range(0, len(ie) + 1)) AS b FROM i), rb AS (SELECT period, len(list_filter(ie, lambda x: x <= v)) AS b, count(*) AS c FROM o JOIN i ON i.period = o.p + 1 GROUP BY ALL), cb AS (SELECT period, len(list_filter(ie, lambda x: x <= v)) AS b, count(*) AS c FROM o JOIN i ON i.period = o.p GROUP BY ALL), rs AS (SELECT *, c / (sum(c) OVER (PARTITION BY period))::DOUBLE AS s FROM rb), cs AS (SELECT *, c / (sum(c) OVER (PARTITION BY period))::DOUBLE AS s FROM cb), q AS (SELECT sp.period, coalesce(rs.s, 1e-4) AS r, coalesce(cs.s, 1e-4) AS a FROM sp LEFT JOIN rs USING (period, b) LEFT JOIN cs USING (period, b)) SELECT period, round(sum((a - r) * ln(a / r)), 6) AS psi FROM q GROUP BY period"
+)
+def psi_by_year(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.year("o_orderdate").alias("y"), "o_totalprice")
+    return drift.psi_by_period(o, "y", "o_totalprice").select("period", _round("psi"))
+
+
 @register()
 def train_linear_scores(spark, sf_dir):
     rows = feats.linear_features(feats.with_position(events(spark, sf_dir)), SECONDS).cache()
