@@ -16,7 +16,9 @@ DECAY = 0.98
 WINDOW_SECONDS = 60.0
 FOOTPRINT = 20
 FOOTPRINT_LEAST = 5
-BLOCK_SECONDS = 86_400.0
+#: Time blocks of global positions and of positions within a key: short enough that a block fits one task on the
+#: busiest streams, long enough that the table of block sizes stays small.
+BLOCK_SECONDS, KEY_BLOCK_SECONDS = 600.0, 3600.0
 
 
 def valid(df: DataFrame) -> Column:
@@ -25,11 +27,12 @@ def valid(df: DataFrame) -> Column:
     return fine("amount") & fine("t")
 
 
-def with_position(df: DataFrame, name: str = "position", keys: tuple[str, ...] = (), block_seconds: float = BLOCK_SECONDS) -> DataFrame:
+def with_position(df: DataFrame, name: str = "position", keys: tuple[str, ...] = (), block_seconds: float | None = None) -> DataFrame:
     """Rows before each one in order of (t, seq), within `keys` if there are any.
 
     Rows are numbered inside time blocks; only the table of block sizes is ordered as a whole.
     """
+    block_seconds = block_seconds or (KEY_BLOCK_SECONDS if keys else BLOCK_SECONDS)
     block = F.floor(F.col("t") / block_seconds).alias("__block")
     sizes = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
