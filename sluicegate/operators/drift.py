@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 MODERATE, SIGNIFICANT = 0.1, 0.25
 EMPTY_SHARE = 1e-4
 P_LEVEL = 0.05
@@ -32,8 +34,7 @@ def psi(reference: DataFrame, current: DataFrame, features: list[str], bins: int
 
 def psi_of_rows(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
     """The same for rows (feature, value) of both sides; a feature may be any key, as a pair of periods."""
-    steps = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    edges = ref.groupBy("feature").agg(F.array_distinct(F.percentile("value", steps)).alias("edges"))  # one row a feature
+    edges = exact_quantiles(ref, [k / bins for k in range(bins + 1)]).select("feature", F.array_distinct("quantiles").alias("edges"))  # one row a feature
     inner = F.when(F.size("edges") > 2, F.slice("edges", 2, F.size("edges") - 2)).otherwise(F.array().cast("array<double>"))
     edges = F.broadcast(edges.select("feature", inner.alias("inner")))
     place = F.size(F.filter("inner", lambda e: e <= F.col("value"))).alias("bin")

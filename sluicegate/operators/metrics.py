@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_ratio
+from .quantiles import exact_quantiles
 
 BUCKETS = 4096
 
@@ -111,7 +112,8 @@ def best_threshold_cost(df: DataFrame, score: str, label: str, amount: str, fals
 
 def baseline_rule(train: DataFrame, test: DataFrame, amount: str, label: str, quantile: float = 0.999) -> DataFrame:
     """cut and the confusion of the naive rule: an amount over a quantile of the training amounts."""
-    cut = train.agg(F.percentile(amount, F.lit(quantile)).alias("cut"))
+    rows = train.where(F.col(amount).isNotNull() & ~F.isnan(amount)).select(F.lit("amount").alias("feature"), F.col(amount).alias("value"))
+    cut = exact_quantiles(rows, [quantile]).select(F.get("quantiles", F.lit(0)).alias("cut"))
     fired, yes = F.col(amount) > F.col("cut"), F.col(label) == 1
     out = test.join(F.broadcast(cut)).groupBy("cut").agg(F.count_if(fired & yes).alias("tp"), F.count_if(fired & ~yes).alias("fp"), F.count_if(~fired & yes).alias("fn"))
     out = out.withColumn("precision", safe_ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", safe_ratio(F.col("tp"), F.col("tp") + F.col("fn")))

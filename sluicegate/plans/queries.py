@@ -13,6 +13,7 @@ from ..functions.numeric import bin_index, isotonic
 from ..operators import decision_log, detectors, drift, metrics, splits, training
 from ..operators import features as feats
 from ..operators.decisions import classify_reason, decide, linear_score, with_table_score
+from ..operators.quantiles import exact_quantiles
 from ..schema import canonical, clean_label
 from ..session import scratch_dir
 from ..sources.events import EVENTS, ORDERS, read_stream
@@ -433,8 +434,9 @@ def quoted_labels(spark, sf_dir):
 
 @register("WITH q AS (SELECT year(o_orderdate) AS y, o_totalprice AS v FROM orders), a AS (SELECT y, min(v) AS lo, quantile_cont(v, 0.5) AS mid, quantile_cont(v, 0.999) AS top, count(*) AS n FROM q GROUP BY y) SELECT CAST(y AS INTEGER) AS y, round(mid, 6) AS mid, round(top, 6) AS top, n FROM a")
 def yearly_percentiles(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.year("o_orderdate").alias("y"), F.col("o_totalprice").alias("v"))
-    return o.groupBy("y").agg(F.round(F.percentile("v", F.lit(0.5)), 6).alias("mid"), F.round(F.percentile("v", F.lit(0.999)), 6).alias("top"), F.count(F.lit(1)).alias("n"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.year("o_orderdate").alias("feature"), F.col("o_totalprice").alias("value"))
+    cuts = exact_quantiles(o, [0.5, 0.999]).select(F.col("feature").alias("y"), F.round(F.get("quantiles", F.lit(0)), 6).alias("mid"), F.round(F.get("quantiles", F.lit(1)), 6).alias("top"))
+    return cuts.join(o.groupBy(F.col("feature").alias("y")).agg(F.count(F.lit(1)).alias("n")), "y")
 
 
 @register(f"WITH {EV}, v AS (SELECT seq AS vseq, t AS vt, 1 + seq // 1000 AS version FROM ev WHERE seq % 1000 = 0) SELECT seq, coalesce((SELECT max_by(version, vt) FROM v WHERE v.vt <= ev.t), 0) AS policy_version FROM ev")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicegate.operators import drift, metrics, splits
+from sluicegate.operators.quantiles import exact_quantiles
 
 
 def scored(spark, y, s, amount=None):
@@ -98,3 +99,13 @@ def test_splits_and_folds():
     assert [f.train_end for f in folds] == [3000, 3600, 4200, 4800, 5400] and folds[-1].test_end == 6000
     with pytest.raises(ValueError):
         splits.walk_forward(3, 5)
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_exact_quantiles(spark, small):
+    rng = np.random.default_rng(5)
+    data = {"a": rng.normal(size=1500), "b": np.round(rng.exponential(3, 700), 1), "c": np.full(10, 2.5), "d": np.array([1.0])}
+    rows = spark.createDataFrame([(f, float(v)) for f, x in data.items() for v in x], "feature string, value double")
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    for r in exact_quantiles(rows, probabilities, small).collect():
+        assert r["quantiles"] == pytest.approx(np.quantile(data[r["feature"]], probabilities).tolist(), abs=1e-12)
