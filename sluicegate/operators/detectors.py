@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_ratio
+from .features import over_last
 
 
 def z_limits(train: DataFrame, features: list[str]) -> DataFrame:
@@ -49,8 +50,7 @@ def mahalanobis_many(rows: DataFrame, train: DataFrame, features: list[str], nam
 
 def rolling_median(rows: DataFrame, value: str, keys: tuple[str, ...] = (), size: int = 3, name: str = "median") -> DataFrame:
     """Median of the last `size` values of a key in order of (t, seq)."""
-    w = Window.partitionBy(*keys).orderBy("t", "seq").rowsBetween(-(size - 1), 0)
-    return rows.withColumn(name, F.percentile(F.col(value), F.lit(0.5)).over(w))
+    return over_last(rows, name, F.percentile(F.col(value), F.lit(0.5)), size - 1, keys, current=True)
 
 
 def causal_delta(value: str, past_mean: str) -> Column:
@@ -72,13 +72,12 @@ def prior_shift(scores: DataFrame, score: str, prior: float, rounds: int = 50, t
 
 def substitute_category(rows: DataFrame, last: int = 20) -> DataFrame:
     """Each event with the most frequent category of its account's last events in place of its own (ties: the first name)."""
-    past = Window.partitionBy("account").orderBy("t", "seq").rowsBetween(-last, -1)
-    h = F.collect_list("category").over(past)
     counted = F.transform(F.array_distinct("__h"), lambda c: F.struct((-F.size(F.filter("__h", lambda x: x == c))).alias("n"), c.alias("c")))
-    return rows.withColumn("__h", h).withColumn("category", F.coalesce(F.array_min(counted)["c"], F.col("category"))).drop("__h")
+    return over_last(rows, "__h", F.collect_list("category"), last).withColumn("category", F.coalesce(F.array_min(counted)["c"], F.col("category"))).drop("__h")
 
 
 def circuit_state(rows: DataFrame, flag: str, size: int = 20, rate: float = 0.5, name: str = "open") -> DataFrame:
     """Whether a breaker over the last `size` flags stands open, in order of (t, seq) within an account."""
-    w = Window.partitionBy("account").orderBy("t", "seq").rowsBetween(-(size - 1), 0)
-    return rows.withColumn(name, (F.count(F.lit(1)).over(w) == size) & (F.avg(F.col(flag).cast("double")).over(w) >= rate))
+    seen = over_last(rows, "__f", F.collect_list(F.col(flag).cast("double")), size - 1, current=True)
+    share = F.aggregate("__f", F.lit(0.0), lambda a, x: a + x) / size
+    return seen.withColumn(name, (F.size("__f") == size) & (share >= rate)).drop("__f")

@@ -19,6 +19,8 @@ FOOTPRINT_LEAST = 5
 #: Time blocks of global positions and of positions within a key: short enough that a block fits one task on the
 #: busiest streams, long enough that the table of block sizes stays small.
 BLOCK_SECONDS, KEY_BLOCK_SECONDS = 600.0, 3600.0
+#: Events of one key in one block of over_last.
+HISTORY_BLOCK = 50_000
 
 
 def valid(df: DataFrame) -> Column:
@@ -78,18 +80,36 @@ def count_window(df: DataFrame, name: str = "count_window", seconds: float = WIN
     return counted.where("__copy = 0").drop("__copy", "__bucket")
 
 
-def ewma_account(df: DataFrame, name: str = "ewma_account", decay: float = DECAY) -> DataFrame:
+def ewma_account(df: DataFrame, name: str = "ewma_account", decay: float = DECAY, position: str | None = None) -> DataFrame:
     """As the global mean, for each account by itself: positions and blocks are per account, so a hot account is spread over many blocks."""
+    own = position or "__p"
     length = max(2, int(100 / -log(decay)))
-    rows = with_position(df, "__p", ("account",)).withColumn("__b", F.floor(F.col("__p") / length)).withColumn("__k", F.col("__p") % length)
-    share = F.when(F.col("__p") == 0, F.col("amount")).otherwise((1 - decay) * F.col("amount")) * F.pow(F.lit(1 / decay), F.col("__k"))
+    rows = df if position else with_position(df, own, ("account",))
+    rows = rows.withColumn("__b", F.floor(F.col(own) / length)).withColumn("__k", F.col(own) % length)
+    share = F.when(F.col(own) == 0, F.col("amount")).otherwise((1 - decay) * F.col("amount")) * F.pow(F.lit(1 / decay), F.col("__k"))
     inside = Window.partitionBy("account", "__b").orderBy("__k")
     rows = rows.withColumn("__past", F.sum(share).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     ends = rows.groupBy("account", (F.col("__b") + 1).alias("__b")).agg((F.sum(share) * F.pow(F.lit(decay), F.max("__k"))).alias("__carry"))
     rows = rows.join(ends, ["account", "__b"], "left")
     local = F.coalesce(F.col("__past") * F.pow(F.lit(decay), F.col("__k") - 1), F.lit(0.0))
     carried = F.coalesce(F.col("__carry") * F.pow(F.lit(decay), F.col("__k")), F.lit(0.0))
-    return rows.withColumn(name, F.when(F.col("__p") == 0, F.col("amount")).otherwise(local + carried)).drop("__p", "__b", "__k", "__past", "__carry")
+    drop = ["__b", "__k", "__past", "__carry"] + ([] if position else [own])
+    return rows.withColumn(name, F.when(F.col(own) == 0, F.col("amount")).otherwise(local + carried)).drop(*drop)
+
+
+def over_last(df: DataFrame, name: str, value: Column, last: int, keys: tuple[str, ...] = ("account",), position: str | None = None, current: bool = False) -> DataFrame:
+    """`value`, an aggregate, over each event's `last` predecessors of its key (and itself, if `current`).
+
+    A key's events are cut into blocks by position, each with copies of the last events of the block
+    before it, so a hot key is spread over many tasks.
+    """
+    own = position or "__p"
+    rows = df if position else with_position(df, own, keys)
+    block = max(HISTORY_BLOCK, 2 * last)
+    copies = F.when(F.col(own) % block >= block - last, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("__copy", F.explode(copies)).withColumn("__block", F.floor(F.col(own) / block) + F.col("__copy"))
+    frame = Window.partitionBy(*keys, "__block").orderBy(own).rowsBetween(-last, 0 if current else -1)
+    return rows.withColumn(name, value.over(frame)).where("__copy = 0").drop("__copy", "__block", *([] if position else [own]))
 
 
 def category_prior(df: DataFrame) -> DataFrame:
@@ -99,10 +119,9 @@ def category_prior(df: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("category", "n", (F.col("n") / F.col("__total")).alias("prior"))
 
 
-def footprint(df: DataFrame, prior: dict[str, float], name: str = "footprint", last: int = FOOTPRINT, least: int = FOOTPRINT_LEAST) -> DataFrame:
+def footprint(df: DataFrame, prior: dict[str, float], name: str = "footprint", last: int = FOOTPRINT, least: int = FOOTPRINT_LEAST, position: str | None = None) -> DataFrame:
     """Share of an event's category among its account's last events; with fewer than `least`, the category's prior (0 if unknown)."""
-    past = Window.partitionBy("account").orderBy("t", "seq").rowsBetween(-last, -1)
-    rows = df.withColumn("__h", F.collect_list("category").over(past))
+    rows = over_last(df, "__h", F.collect_list("category"), last, position=position)
     known = F.lit(0.0)
     if prior:
         table = F.create_map(*(F.lit(x) for pair in sorted(prior.items()) for x in pair))
@@ -132,4 +151,6 @@ def linear_features(df: DataFrame, seconds: float = WINDOW_SECONDS, decay: float
 def account_features(df: DataFrame, prior: dict[str, float], seconds: float = WINDOW_SECONDS, decay: float = DECAY) -> DataFrame:
     """The six features of the table policy beside the amount: hour, count_window, ewma_account, footprint, category_frequency."""
     rows = count_window(expanding_frequency(df, max(len(prior), 1)), seconds=seconds)
-    return footprint(ewma_account(rows, decay=decay), prior).withColumn("hour", hour_utc())
+    rows = with_position(rows, "__own", ("account",))
+    rows = footprint(ewma_account(rows, decay=decay, position="__own"), prior, position="__own")
+    return rows.drop("__own").withColumn("hour", hour_utc())

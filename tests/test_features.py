@@ -106,3 +106,16 @@ def test_positions_across_blocks(spark):
     got = {r["seq"]: r["position"] for r in f.with_position(frame(spark, rows)).collect()}
     order = sorted(rows, key=lambda r: (r[1], r[0]))
     assert all(got[r[0]] == k for k, r in enumerate(order))
+
+
+def test_history_across_blocks(spark, monkeypatch):
+    """Blocks of a hot account see the last events of the block before them."""
+    monkeypatch.setattr(f, "HISTORY_BLOCK", 7)
+    rng = np.random.default_rng(2)
+    rows = [(k, float(k // 2), int(k % 10 == 0), "xyz"[rng.integers(3)], 1.0) for k in range(300)]
+    got = by_seq(f.footprint(frame(spark, rows), {"x": 0.2}, last=3, least=2), "footprint")
+    past: dict = {0: [], 1: []}
+    for r, value in zip(rows, got, strict=True):
+        h = past[r[2]][-3:]
+        assert value == pytest.approx({"x": 0.2}.get(r[3], 0.0) if len(h) < 2 else h.count(r[3]) / len(h))
+        past[r[2]].append(r[3])
