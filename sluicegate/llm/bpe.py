@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from .common import chunks, gather, map_arrow, starts_of
 
 #: Most words kept with their tokens in one worker; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Characters of text worked on at a time in one worker.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Up to here lower-casing and letter classes of all Unicode versions agree, and NFC changes nothing.
 PLAIN = regex.compile(r"[^\x00-ɏ‐-‧€]")
 
@@ -122,6 +122,8 @@ class WordBPE:
         key = left << 20 | right
         known = self._fits.get(key)
         if known is None:
+            if len(self._fits) > CACHE_WORDS:
+                self._fits.clear()
             known = self._fits[key] = self._merge(self._text[left] + self._text[right]) == [left, right]
         return known
 
@@ -209,6 +211,10 @@ class WordBPE:
 _LOADED: dict[str, WordBPE] = {}
 
 
+def forget() -> None:
+    _LOADED.clear()
+
+
 def loaded(spec: str) -> WordBPE:
     """One encoder for each tokenizer in a worker."""
     key = hashlib.sha256(spec.encode()).hexdigest()

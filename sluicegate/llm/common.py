@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -9,6 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +41,23 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     ship(spark)
     if spark.conf.get(ARROW_BYTES) == ARROW_BYTES_DEFAULT:
         spark.conf.set(ARROW_BYTES, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def worked(batches):
+        tidy(run.__module__)
+        yield from run(batches)
+        tidy(run.__module__)
+
+    return df.mapInArrow(worked, schema)
+
+
+def tidy(module: str) -> None:
+    """Give back what a worker, which outlives its tasks, holds for other operators, and its free memory."""
+    for name, other in list(sys.modules.items()):
+        if name.startswith(__package__ + ".") and name != module and hasattr(other, "forget"):
+            other.forget()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

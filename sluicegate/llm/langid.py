@@ -25,7 +25,7 @@ from .common import chunks, map_arrow
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 300_000
 MAX_LANGUAGES = 400
 
 

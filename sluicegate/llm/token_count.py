@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import PLAIN, byte_chars
 from .common import chunks, map_arrow, starts_of
 
-CACHE_PIECES = 500_000
-CHUNK_CHARS = 2_000_000
+CACHE_PIECES = 250_000
+CHUNK_CHARS = 1_000_000
 #: Fixed value: the public split pattern of byte-level vocabularies.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.int64(1) << 40
@@ -126,6 +126,10 @@ class ByteBPECounter:
 _LOADED: dict[str, ByteBPECounter] = {}
 
 
+def forget() -> None:
+    _LOADED.clear()
+
+
 def loaded(spec: str) -> ByteBPECounter:
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _LOADED:
