@@ -158,7 +158,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """For each set, the parities of its elements in as many cells as the next power of two from twice its size.
+    """For each set, the parities of its elements in as many cells as the next power of two from four times its size.
 
     An element that only one of two sets has changes one parity, so sets differ in as many elements at
     least as their sketches in bits. A longer sketch folds onto a shorter one by exclusive or of its halves.
@@ -166,7 +166,7 @@ def sketches(grams: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     out, at = [], starts_of(sizes).tolist()
     place = wordhash.mix(grams ^ _CELL)
     for a, b in zip(at[:-1], at[1:], strict=True):
-        bits = max(64, 1 << max(0, 2 * (b - a) - 1).bit_length())
+        bits = max(64, 1 << max(0, 4 * (b - a) - 1).bit_length())
         odd = np.bincount((place[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
     return out
