@@ -31,6 +31,8 @@ from . import wordhash
 from .common import chunks, dropped, map_arrow, sized, staged, starts_of
 
 CHUNK_BYTES = 400_000
+#: A key with fewer rows than this is never treated as hot.
+HOT_ROWS = 10_000
 #: Words of the n-grams whose least hash selects a place.
 GRAM = 3
 
@@ -133,9 +135,42 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip((out_id, out_at, out_size, out_first), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["id", "at", "size", "first"])
 
 
-def _sorted_repeats(rows: DataFrame) -> DataFrame:
-    """Neighbours compared in sorted order: key, id, at, size in; the repeated rows and their first id out."""
-    return rows.repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_repeated, "id long, at int, size int, first long")
+class _Frequent:
+    """Keys that are frequent in the rows of one task: they come out as rows with at = -1 and their count as size."""
+
+    def __init__(self):
+        self._count: dict[int, int] = {}
+
+    def add(self, keys: np.ndarray) -> None:
+        value, count = np.unique(keys, return_counts=True)
+        often = count >= 8
+        for v, c in zip(value[often].tolist(), count[often].tolist(), strict=True):
+            self._count[v] = self._count.get(v, 0) + c
+
+    def rows(self) -> pa.RecordBatch:
+        kept = [(k, c) for k, c in self._count.items() if c >= 64]
+        n = len(kept)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.nulls(n, pa.int64()), pa.array([-1] * n, pa.int32()), pa.array([c for _, c in kept], pa.int32())], ["key", "id", "at", "size"])
+
+
+def _sorted_repeats(rows: DataFrame, name: str) -> DataFrame:
+    """Neighbours compared in sorted order: key, id, at, size in; the repeated rows and their first id out.
+
+    A key with over a thousandth of all rows (there are a thousand such at most, so they may be literals)
+    would be one task's work: its least and greatest id come from partial aggregation instead, and its rows
+    stay where they are.
+    """
+    rows = staged(rows, name)
+    real = rows.where("at >= 0")
+    marks = rows.where("at < 0").groupBy("key").agg(F.sum("size").alias("n"))
+    hot = [r["key"] for r in marks.where(F.col("n") > max(HOT_ROWS, real.count() // 1000)).collect()]
+    cold = real.where(~F.col("key").isin(hot)) if hot else real
+    out = cold.select("key", "id", "at", "size").repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_repeated, "id long, at int, size int, first long")
+    ends = real.where(F.col("key").isin(hot)).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").collect() if hot else []
+    if ends:
+        first = F.try_element_at(F.create_map(*(F.lit(x) for r in ends for x in (r["key"], r["first"]))), F.col("key"))
+        out = out.unionAll(real.where(F.col("key").isin([r["key"] for r in ends])).select("id", "at", "size", first.alias("first")))
+    return out
 
 
 def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -180,6 +215,7 @@ def repeats(docs: DataFrame, least: int = 50, gap: int = 20, id_col: str = "doc_
     singles = source.join(sized(copies.select("id")), "id", "left_anti")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _Frequent()
         for batch in batches:
             who = batch.column(0).to_numpy()
             for a, b, w in _chunks(batch.column(1).to_pylist()):
@@ -188,13 +224,16 @@ def repeats(docs: DataFrame, least: int = 50, gap: int = 20, id_col: str = "doc_
                 key = run_hash(sums, down, place, least - gap + 1)
                 owner = w.owner[place]
                 at = first - starts_of(w.counts())[owner]
+                frequent.add(key.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who[a:b][owner]), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "id", "at", "size"])
+        yield frequent.rows()
 
-    met = staged(_sorted_repeats(map_arrow(singles, heads, "key long, id long, at int, size int")), "suffix-heads")
+    met = staged(_sorted_repeats(map_arrow(singles, heads, "key long, id long, at int, size int"), "suffix-head-rows"), "suffix-heads")
     per_text = met.groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("places"))
     extended = singles.join(per_text.hint("shuffle_hash"), "id").select("id", "__text", "places")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = _Frequent()
         for batch in batches:
             who = batch.column(0).to_numpy()
             held = batch.column(2)
@@ -209,9 +248,11 @@ def repeats(docs: DataFrame, least: int = 50, gap: int = 20, id_col: str = "doc_
                 own = np.repeat(own, size)
                 sums, down = _hash_runs(w.hash)
                 key = run_hash(sums, down, base[own] + begin, least)
+                frequent.add(key.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who[a:b][own]), pa.array(begin.astype(np.int32)), pa.array(np.full(len(own), 1, np.int32))], ["key", "id", "at", "size"])
+        yield frequent.rows()
 
-    found = _sorted_repeats(map_arrow(extended, windows, "key long, id long, at int, size int"))
+    found = _sorted_repeats(map_arrow(extended, windows, "key long, id long, at int, size int"), "suffix-window-rows")
     spans = found.groupBy("id").agg(F.collect_list(F.struct("at", "first")).alias("windows")).mapInArrow(lambda it: _spans(it, least), "id long, spans array<struct<begin:int,end:int,first:long>>")
     spans = staged(spans, "suffix-spans")
     dropped(met)
