@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,17 @@ def build_session(app: str = "sluicegate", master: str | None = None, **extra: s
 def scratch_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (one machine)."""
     return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluicegate-")).rstrip("/")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package once a context, so that workers import it (and keep module caches) anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_sluicegate_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sluicegate-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._sluicegate_shipped = True

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.features import DECAY, FOOTPRINT, FOOTPRINT_LEAST, WINDOW_SECONDS
+from ..session import ship
 
 _EVENT = "seq long, t double, category string, amount double"
 ACCOUNT_OUT = f"account long, {_EVENT}, ewma_account double, footprint double, late boolean, invalid boolean"
@@ -95,6 +96,7 @@ def account_features(events: DataFrame, prior: dict[str, float], decay: float =
         group.update(state.saved())
         yield pd.DataFrame(out, columns=["account", "seq", "t", "category", "amount", "ewma_account", "footprint", "late", "invalid"]).astype({"ewma_account": float, "footprint": float})
 
+    ship(events.sparkSession)
     return events.groupBy("account").applyInPandasWithState(step, ACCOUNT_OUT, ACCOUNT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -120,4 +122,5 @@ def global_features(events: DataFrame, n_categories: int, seconds: float = WINDO
         frame = pd.DataFrame(out, columns=["seq", "t", "category", "amount", "account", "ewma_global", "count_window", "category_frequency", "late", "invalid"])
         yield frame.astype({"ewma_global": float, "category_frequency": float, "count_window": "Int64"})
 
+    ship(events.sparkSession)
     return events.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandasWithState(step, GLOBAL_OUT, GLOBAL_STATE, "append", GroupStateTimeout.NoTimeout)
