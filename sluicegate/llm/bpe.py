@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, gather, map_arrow, starts_of
 
-#: Most words kept with their tokens in one worker; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+#: Most words kept with their tokens in one worker; beyond it only words met more than once stay.
+CACHE_WORDS = 160_000
 #: Characters of text worked on at a time in one worker.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 #: Up to here lower-casing and letter classes of all Unicode versions agree, and NFC changes nothing.
 PLAIN = regex.compile(r"[^\x00-ɏ‐-‧€]")
 
@@ -103,6 +103,18 @@ class WordBPE:
         self._slot: dict[str, int] = {}
         self._ids: list[int] = []
         self._sizes: list[int] = []
+        self._uses = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the words used most, half a cache of them at most."""
+        least = 2
+        while np.count_nonzero(self._uses >= least) > CACHE_WORDS // 2:
+            least *= 2
+        keep = np.flatnonzero(self._uses >= least)
+        ids, sizes = gather(np.array(self._ids, np.int32), starts_of(np.array(self._sizes, np.int64)), keep)
+        words = list(self._slot)
+        self._slot = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self._ids, self._sizes, self._uses = ids.tolist(), sizes.tolist(), self._uses[keep] // 2
 
     def _merge(self, text: str) -> list[int]:
         """Merges as defined, lowest rank first: used on short texts to fill tables."""
@@ -179,7 +191,7 @@ class WordBPE:
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's."""
         if len(self._slot) > CACHE_WORDS:
-            self._forget()
+            self._shrink()
         flat: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
@@ -189,6 +201,9 @@ class WordBPE:
         for word in set(flat).difference(self._slot):
             self._slot_of(word)
         slots = np.fromiter(map(self._slot.__getitem__, flat), np.int64, len(flat))
+        uses = np.bincount(slots, minlength=len(self._sizes))
+        uses[: len(self._uses)] += self._uses
+        self._uses = uses
         ids, sizes = gather(np.array(self._ids, np.int32), starts_of(np.array(self._sizes, np.int64)), slots)
         ends = starts_of(sizes)[starts_of(counts)]
         return ids, np.diff(ends)
