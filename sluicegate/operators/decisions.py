@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import bin_index, dot, flat_index, isotonic, sigmoid
-from ..plans.policy import LinearPolicy, TablePolicy
+from ..plans.policy import LinearPolicy, TablePolicy, TreesPolicy
 
 AMOUNT_LIMIT = 10_000.0
 #: Lookup tables up to this many cells become an array literal; larger ones are joined by cell.
@@ -23,8 +23,25 @@ def table_cell(policy: TablePolicy) -> Column:
     return flat_index([bin_index(F.col(f).cast("double"), policy.cuts[f]) for f in policy.features], policy.table_shape)
 
 
-def with_table_score(df: DataFrame, policy: TablePolicy, name: str = "score") -> DataFrame:
-    """Cell of the lookup table, then isotonic calibration."""
+def trees_score(policy: TreesPolicy) -> Column:
+    """The boosted trees' probability, null where a feature is null."""
+
+    def sql(node) -> str:
+        if not isinstance(node, (list, tuple)):
+            return f"{float(node)!r}D"
+        x = f"CAST(`{policy.features[node[0]]}` AS DOUBLE)"
+        return f"IF({x} <= {float(node[1])!r}D OR isnan({x}), {sql(node[2])}, {sql(node[3])})"
+
+    terms = ", ".join(f"{float(w)!r}D * {sql(t)}" for w, t in zip(policy.weights, policy.trees, strict=True))
+    known = " AND ".join(f"`{f}` IS NOT NULL" for f in policy.features)
+    return F.when(F.expr(known), sigmoid(2 * F.expr(f"aggregate(array({terms}), 0D, (a, x) -> a + x)")))
+
+
+def with_table_score(df: DataFrame, policy: TablePolicy | TreesPolicy, name: str = "score") -> DataFrame:
+    """Cell of the lookup table (or the trees' sum), then isotonic calibration."""
+    if isinstance(policy, TreesPolicy):
+        scored = df.withColumn("__raw", trees_score(policy))
+        return scored.withColumn(name, isotonic(F.col("__raw"), policy.isotonic_x, policy.isotonic_y)).drop("__raw")
     if len(policy.table) <= LITERAL_CELLS:
         raw = F.get(F.array(*(F.lit(float(v)) for v in policy.table)), table_cell(policy).cast("int"))
         return df.withColumn(name, isotonic(raw, policy.isotonic_x, policy.isotonic_y))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+from dataclasses import replace
 from datetime import datetime, timezone
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.policy import LinearPolicy, TablePolicy
+from ..plans.policy import LinearPolicy, TablePolicy, TreesPolicy
 from ..schema import InvalidDataset
 from . import features as feats
 from . import metrics, splits
@@ -21,8 +22,10 @@ from .decisions import linear_score, with_table_score
 TABLE_FEATURES = ("amount", "hour", "count_window", "ewma_account", "footprint", "category_frequency")
 #: Not monitored for drift: an expanding frequency moves by design.
 UNSTABLE = ("category_frequency",)
-#: A lookup table larger than this is not built.
+#: A lookup table larger than this is not built; the policy then holds the trees.
 MAX_CELLS = 5_000_000
+#: Boosting stops early beyond so many rows: a tenth is held out, and PATIENCE rounds must lower its loss by more than TOLERANCE.
+EARLY_ROWS, PATIENCE, TOLERANCE = 10_000, 10, 1e-7
 
 
 def _now() -> str:
@@ -110,11 +113,59 @@ def lookup_table(model, cuts: dict[str, list[float]], features: list[str], spark
     return rows.column("p").to_pylist()
 
 
-def fit_boosted(train: DataFrame, features: list[str], label: str = "label", iterations: int = 30, depth: int = 3, rate: float = 0.1, seed: int = 42):
+def plain_trees(model) -> tuple:
+    """The trees as nested lists, as TreesPolicy holds them."""
+
+    def plain(node):
+        if node.subtreeDepth() == 0:
+            return float(node.prediction())
+        split = node.split()
+        return [int(split.featureIndex()), float(split.threshold()), plain(node.leftChild()), plain(node.rightChild())]
+
+    return tuple(plain(t._java_obj.rootNode()) for t in model.trees)
+
+
+def rounds_kept(losses: list[float]) -> int:
+    """Rounds until none of the last PATIENCE losses is below the one before them by more than TOLERANCE."""
+    for n in range(PATIENCE + 1, len(losses) + 1):
+        if min(losses[n - PATIENCE : n]) >= losses[n - PATIENCE - 1] - TOLERANCE:
+            return n
+    return len(losses)
+
+
+def first_rounds(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first n rounds."""
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    jvm = context._jvm
+    trees = context._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = context._gateway.new_array(jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = model.trees[k]._java_obj, float(model.treeWeights[k])
+    out = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures, 2))
+    out._resetUid(model.uid)
+    return model._copyValues(out)
+
+
+def fit_boosted(train: DataFrame, features: list[str], label: str = "label", iterations: int = 200, depth: int = 3, rate: float = 0.1, seed: int = 42, bins: int = 255) -> GBTClassificationModel:
+    """Boosted trees with balanced weights, stopped early beyond EARLY_ROWS rows.
+
+    MLlib's own stopping ends at the first round that gains nothing, so all rounds are fitted and those after the stop dropped.
+    """
     n, pos = class_counts(train, label, "training")
     rows = _weights(train.select(F.col(label).cast("double").alias("__y"), *(F.col(f).cast("double").alias(f) for f in features)), "__y", n, pos)
-    vector = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows)
-    return GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=iterations, maxDepth=depth, stepSize=rate, maxBins=64, seed=seed).fit(vector)
+    held = (F.pmod(F.xxhash64(*features), F.lit(10)) == 0) if n > EARLY_ROWS else F.lit(False)
+    vector = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows.withColumn("__held", held)).persist()
+    try:
+        boosting = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=iterations, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed)
+        model = boosting.fit(vector.where(~F.col("__held")))
+        if n <= EARLY_ROWS or vector.where("__held").isEmpty():
+            return model
+        kept = rounds_kept(model.evaluateEachIteration(vector.where("__held")))
+        return model if kept == len(model.trees) else first_rounds(model, kept)
+    finally:
+        vector.unpersist()
 
 
 def fit_isotonic(val: DataFrame, raw: str, label: str) -> tuple[list[float], list[float]]:
@@ -123,33 +174,36 @@ def fit_isotonic(val: DataFrame, raw: str, label: str) -> tuple[list[float], lis
     return [float(x) for x in model.boundaries], [float(y) for y in model.predictions]
 
 
-def calibrate_table(train: DataFrame, val: DataFrame, features: list[str], prior: dict[str, float], label: str = "label", **boosting) -> TablePolicy:
-    """Boosted trees as an exact table, isotonic calibration and threshold from validation."""
+def calibrate_table(train: DataFrame, val: DataFrame, features: list[str], prior: dict[str, float], label: str = "label", **boosting) -> TablePolicy | TreesPolicy:
+    """Boosted trees as an exact table (or as they are, where it would be too large), isotonic calibration and threshold from validation."""
     class_counts(val, label, "validation")
     model = fit_boosted(train, features, label, **boosting)
     cuts = tree_cuts(model, features)
-    table = lookup_table(model, cuts, features, train.sparkSession)
     shape = tuple(len(cuts[f]) + 1 for f in features)
-    plain = TablePolicy(tuple(features), cuts, shape, tuple(table), (0.0, 1.0), (0.0, 1.0), 0.5, prior, calibrated_at=_now())
+    if math.prod(shape) <= MAX_CELLS:
+        plain = TablePolicy(tuple(features), cuts, shape, tuple(lookup_table(model, cuts, features, train.sparkSession)), (0.0, 1.0), (0.0, 1.0), 0.5, prior, calibrated_at=_now())
+    else:
+        plain = TreesPolicy(tuple(features), plain_trees(model), tuple(map(float, model.treeWeights)), (0.0, 1.0), (0.0, 1.0), 0.5, prior, calibrated_at=_now())
     raw = with_table_score(val, plain, "raw").select(label, "raw")
     xs, ys = fit_isotonic(raw, "raw", label)
-    policy = TablePolicy(plain.features, cuts, shape, plain.table, tuple(xs), tuple(ys), 0.5, prior, calibrated_at=plain.calibrated_at)
-    scored = with_table_score(val, policy).select(label, "score")
+    policy = replace(plain, isotonic_x=tuple(xs), isotonic_y=tuple(ys))
+    scored = with_table_score(val, policy).select(label, "score").cache()
     threshold = float(metrics.best_threshold_f1(scored, "score", label).first()["threshold"])
     got = metrics.confusion(scored, "score", label, threshold).first()
     found = {"precision_val": got["precision"], "recall_val": got["recall"], "f1_val": got["f1"], "auc_roc": metrics.roc_auc(scored, "score", label).first()["auc"], "auc_pr": metrics.average_precision(scored, "score", label).first()["ap"]}
-    return TablePolicy(policy.features, cuts, shape, policy.table, policy.isotonic_x, policy.isotonic_y, threshold, prior, calibrated_at=policy.calibrated_at, metrics=found).validated()
+    scored.unpersist()
+    return replace(policy, threshold=threshold, metrics=found).validated()
 
 
-def train_table_pipeline(events: DataFrame, label: str = "label", seconds: float = feats.WINDOW_SECONDS, **boosting) -> TablePolicy:
-    """Prior from the raw training part, features over the whole history, then fit on the split."""
+def train_table_pipeline(events: DataFrame, label: str = "label", seconds: float = feats.WINDOW_SECONDS, **boosting) -> tuple[TablePolicy | TreesPolicy, DataFrame]:
+    """The policy and the test part: prior from the raw training part, features over the whole history, then fit on the split."""
     placed = feats.with_position(events)
     n = placed.count()
     first, _ = splits.split_bounds(n)
     prior = {r["category"]: r["prior"] for r in feats.category_prior(placed.where(F.col("position") < first)).collect()}
-    rows = splits.temporal_split(feats.account_features(placed, prior, seconds), n)
-    train, val, _ = splits.parts(rows)
-    return calibrate_table(train, val, list(TABLE_FEATURES), prior, label, **boosting)
+    rows = splits.temporal_split(feats.account_features(placed, prior, seconds), n).cache()
+    train, val, test = splits.parts(rows)
+    return calibrate_table(train, val, list(TABLE_FEATURES), prior, label, **boosting), test
 
 
 def walk_forward_validation(rows: DataFrame, features: list[str], folds: int = 5, first: float = 0.5, label: str = "label", position: str = "position") -> tuple[list[dict], dict]:

@@ -75,7 +75,43 @@ class TablePolicy:
         return replace(self, features=tuple(self.features), table_shape=tuple(self.table_shape), table=tuple(self.table), isotonic_x=tuple(self.isotonic_x), isotonic_y=tuple(self.isotonic_y))
 
 
-Policy = LinearPolicy | TablePolicy
+@dataclass(frozen=True)
+class TreesPolicy:
+    """The boosted trees themselves, where their lookup table would be too large.
+
+    A tree is a leaf's value or [feature's number, cut, left, right]; x <= cut goes left, and NaN does too, as in the table.
+    """
+
+    features: tuple[str, ...]
+    trees: tuple
+    weights: tuple[float, ...]
+    isotonic_x: tuple[float, ...]
+    isotonic_y: tuple[float, ...]
+    threshold: float
+    category_prior: dict[str, float]
+    version: int = 1
+    calibrated_at: str = ""
+    model: str = "boosted-trees"
+    metrics: dict = field(default_factory=dict)
+
+    def validated(self) -> TreesPolicy:
+        _need(len(self.features) > 0, "no features")
+        _need(len(self.trees) == len(self.weights) > 0, "trees and weights differ in number or are none")
+        _need(all(_number(w) for w in self.weights), "weights are numbers")
+        todo = list(self.trees)
+        while todo:
+            node = todo.pop()
+            if not _number(node):
+                _need(isinstance(node, (list, tuple)) and len(node) == 4 and node[0] in range(len(self.features)) and _number(node[1]), "a tree is broken")
+                todo += node[2:]
+        _need(len(self.isotonic_x) == len(self.isotonic_y) > 0, "isotonic points differ in number or are none")
+        _need(all(a <= b for a, b in zip(self.isotonic_x, self.isotonic_x[1:], strict=False)), "isotonic x does not ascend")
+        _need(_number(self.threshold) and 0 <= self.threshold <= 1, "the threshold lies in [0, 1]")
+        _need(len(self.category_prior) > 0, "no category prior")
+        return replace(self, features=tuple(self.features), trees=tuple(self.trees), weights=tuple(self.weights), isotonic_x=tuple(self.isotonic_x), isotonic_y=tuple(self.isotonic_y))
+
+
+Policy = LinearPolicy | TablePolicy | TreesPolicy
 
 
 def publish(policy: Policy, path: str | os.PathLike) -> Policy:
@@ -104,7 +140,7 @@ def parse(text: str) -> Policy:
     except ValueError as e:
         raise InvalidPolicy(f"not JSON: {e}") from e
     _need(isinstance(raw, dict), "not an object")
-    kind = {"LinearPolicy": LinearPolicy, "TablePolicy": TablePolicy}.get(raw.pop("kind", ""))
+    kind = {"LinearPolicy": LinearPolicy, "TablePolicy": TablePolicy, "TreesPolicy": TreesPolicy}.get(raw.pop("kind", ""))
     _need(kind is not None, "unknown kind of policy")
     names = {f.name for f in fields(kind)}
     missing = names - raw.keys()

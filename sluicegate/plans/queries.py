@@ -492,16 +492,14 @@ def train_linear_scores(spark, sf_dir):
 
 @register()
 def train_boosted_scores(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("hour", feats.hour_utc()).transform(feats.with_position).cache()
-    train, val, test = splits.parts(splits.temporal_split(rows, rows.count()))
-    policy = training.calibrate_table(train, val, ["amount", "hour"], {"x": 1.0}, iterations=5)
+    policy, test = training.train_table_pipeline(events(spark, sf_dir), seconds=SECONDS)
     return with_table_score(test, policy).select("seq", "label", "score")
 
 
 @register()
 def walk_forward_validation(spark, sf_dir):
     rows = feats.linear_features(feats.with_position(events(spark, sf_dir)), SECONDS).cache()
-    folds, _ = training.walk_forward_validation(rows, list(LINEAR.features), 3)
+    folds, _ = training.walk_forward_validation(rows, list(LINEAR.features))
     return spark.createDataFrame([(f["fold"], f["ok"], f["auc"], f["threshold"], f["error"]) for f in folds], "fold int, ok boolean, auc double, threshold double, error string")
 
 

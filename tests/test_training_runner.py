@@ -1,5 +1,6 @@
 """Training, retraining, the decision log, the runner and the stream."""
 
+import inspect
 import json
 import random
 from datetime import date
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sluicegate.operators import decision_log, features, retrain, splits, training
 from sluicegate.operators.decisions import decide, linear_score, with_table_score
 from sluicegate.operators.triage import BudgetSpent, Circuit, CircuitOpen, DailyBudget, TriageAgent, client_from, grounded, parse_reply, strip_fence
-from sluicegate.plans.policy import LinearPolicy, PolicyHolder, load, publish
+from sluicegate.plans.policy import LinearPolicy, PolicyHolder, TreesPolicy, load, publish
 from sluicegate.schema import EventMapping, InvalidDataset, canonical, clean_label
 from sluicegate.streaming import stateful
 from sluicegate.streaming.runner import decide_stream, run_cycle
@@ -58,6 +59,59 @@ def test_table_equals_model(spark):
     assert grid == training.representatives(cuts, ["amount", "hour"])
 
 
+def test_trees_equal_model(spark, monkeypatch, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = stream_rows(spark, 800).withColumn("hour", (F.col("seq") % 24).cast("double"))
+    names = ["amount", "hour"]
+    model = training.first_rounds(training.fit_boosted(rows, names, iterations=5), 3)
+    assert len(model.trees) == 3
+    plain = TreesPolicy(tuple(names), training.plain_trees(model), tuple(model.treeWeights), (0.0, 1.0), (0.0, 1.0), 0.5, {"a": 1.0})
+    publish(plain, tmp_path / "p.json")
+    both = model.transform(VectorAssembler(inputCols=names, outputCol="__x").transform(with_table_score(rows, load(tmp_path / "p.json"))))
+    assert both.select(F.max(F.abs(F.col("score") - vector_to_array("probability")[1])).alias("d")).first()["d"] < 1e-9
+    train, val, _ = splits.parts(splits.temporal_split(features.with_position(rows), 800))
+    table = training.calibrate_table(train, val, names, {"a": 1.0}, iterations=5)
+    monkeypatch.setattr(training, "MAX_CELLS", 1)
+    trees = training.calibrate_table(train, val, names, {"a": 1.0}, iterations=5)
+    assert isinstance(trees, TreesPolicy) and trees.threshold == pytest.approx(table.threshold)
+
+
+def test_rounds_kept():
+    falling = [1 / (k + 1) for k in range(30)]
+    assert training.rounds_kept(falling) == 30
+    assert training.rounds_kept([*falling[:15], *[0.9] * 15]) == 25
+    assert training.rounds_kept([*falling[:15], 0.9, *falling[15:]]) == 31  # one bad round does not end it
+
+
+def test_boosted_query_is_whole(spark, monkeypatch):
+    from sluicegate.plans import queries as engine
+
+    seen = {}
+    fit, walk = training.fit_boosted, training.walk_forward_validation
+
+    def fitted(train, names, label="label", **boosting):
+        seen.update(features=names, boosting=boosting)
+        return fit(train, names, label, iterations=3)
+
+    def calibrated(train, val, names, prior, *args, calibrate=training.calibrate_table, **boosting):
+        seen["prior"] = prior
+        return calibrate(train, val, names, prior, *args, **boosting)
+
+    monkeypatch.setattr(training, "fit_boosted", fitted)
+    monkeypatch.setattr(training, "calibrate_table", calibrated)
+    assert engine.queries()["train_boosted_scores"](spark, "/root/testdata/sf0.001").where("score BETWEEN 0 AND 1").count() == 200
+    assert seen["features"] == list(training.TABLE_FEATURES) and not seen["boosting"]
+    assert len(seen["prior"]) == 5 and sum(seen["prior"].values()) == pytest.approx(1)
+    default = inspect.signature(fit).parameters
+    assert (default["iterations"].default, default["bins"].default) == (200, 255)
+    monkeypatch.setattr(training, "walk_forward_validation", lambda *a, **k: seen.update(folds=inspect.signature(walk).bind(*a, **k)) or ([], {}))
+    engine.queries()["walk_forward_validation"](spark, "/root/testdata/sf0.001")
+    seen["folds"].apply_defaults()
+    assert seen["folds"].arguments["folds"] == 5
+
+
 def test_walk_forward_records_failures(spark):
     rows = features.with_position(stream_rows(spark, 1200, late_fraud=800))
     folds, summary = training.walk_forward_validation(rows, ["amount"], 3)
