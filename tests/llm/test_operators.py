@@ -224,6 +224,16 @@ def test_search_matches_brute_force(spark, monkeypatch):
         assert [(d, pytest.approx(s, abs=2e-6)) for _, d, s in sorted(got[q])] == [(d, -s) for s, d in want]
 
 
+def test_search_counts_very_frequent_words(spark):
+    """Frequencies beyond 16 bits count in full."""
+    texts = ["often", "often " * 200_000 + "other " * 50_000, "other few words"]
+    size, tf, df = [1, 250_000, 3], [1, 200_000, 0], 2
+    mean = sum(size) / 3
+    want = {d: round(log1p((3 - df + 0.5) / (df + 0.5)) * tf[d] * 2.2 / (tf[d] + 1.2 * (0.25 + 0.75 * size[d] / mean)), 6) for d in (0, 1)}
+    got = {r.doc_id: r.score for r in topk_search.search(documents(spark, texts), F.col("doc_id") == 0).collect()}
+    assert got == pytest.approx(want, abs=1.5e-6)
+
+
 def test_search_odd_rows(spark):
     got = topk_search.search(odd_docs(spark), F.lit(True), k=3).collect()
     assert {r.query_id for r in got} == {4, 5, 6, 7, 8, 9, 10}
