@@ -109,11 +109,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def even_bound(sizes: list[int], total: int) -> float:
+    """The bound on each size at which all together are `total`, if they are more."""
+    for k, n in enumerate(ordered := sorted(sizes)):
+        if n * (len(ordered) - k) > total:
+            return total / (len(ordered) - k)
+        total -= n
+    return float(max(sizes, default=0))
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 100_000, smoothing: float = 0.5) -> LanguageModel:
     """Learn from labelled texts.
 
     `max_docs` bounds the labelled documents learned from (about so many, taken by a hash of
-    the id, so the same ones at every run); below the bound all of them are used.
+    the id, so the same ones at every run); below the bound all of them are used. Beyond it one
+    bound holds for each language, so that a rare language is learned from in full.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     per_lang = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
@@ -121,7 +131,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the broadcast matrix would not be bounded")
     total = sum(per_lang.values())
     if total > max_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < round(1_000_000 * max_docs / total))
+        most = even_bound(list(per_lang.values()), max_docs)
+        share = F.create_map(*(F.lit(x) for name, n in per_lang.items() for x in (name, max(1, round(1_000_000 * min(1.0, most / n))))))
+        labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < F.try_element_at(share, F.col(lang_col)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

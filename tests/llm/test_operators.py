@@ -181,6 +181,15 @@ def test_language_held_out(spark):
     assert len(got) > 20 and (got.lang_pred == got.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_bound_spares_rare_languages(spark):
+    rows = [(k, f"the common words of text {k}", "en") for k in range(600)] + [(1000 + k, f"wenige seltene zeilen {k}", "de") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, bounded = langid.fit(docs), langid.fit(docs, max_docs=60)
+    assert bounded.languages == ["de", "en"]
+    assert np.array_equal(bounded.log_prob[0], whole.log_prob[0]) and not np.array_equal(bounded.log_prob[1], whole.log_prob[1])
+    assert langid.even_bound([600, 4], 60) == 56 and langid.even_bound([3, 5], 100) == 5
+
+
 def test_language_odd_rows(spark):
     docs = odd_docs(spark)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs)).collect()}
