@@ -207,7 +207,7 @@ def main_text(page: str | None) -> str:
         if block != current:
             blocks.append(html.unescape("".join(parts)))
             current, parts = block, []
-        if path in chosen:
+        if path in chosen or not text.strip():  # white space parts words whatever its path
             parts.append(text)
     blocks.append(html.unescape("".join(parts)))
     return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)

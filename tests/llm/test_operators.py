@@ -488,6 +488,11 @@ def test_articles_of_the_table(spark):
         assert r.text == plain(pages[r.page_id]) and r.n_chars == len(r.text)
 
 
+def test_blanks_between_inline_elements():
+    assert html_extract.main_text("<article><p><b>One</b> <i>two</i></p></article>") == "One two"
+    assert html_extract.main_text("<article><p><b>One</b><br><i>two</i></p> <p><b>three</b></p></article>") == "One two\nthree"
+
+
 def test_fuzzed_pages_never_fail():
     r = random.Random(4)
     parts = ["<p>", "</p>", "<article>", "</div>", "<div class='ad x'>", "text, ", "&amp;", "<", ">", "<!--", "-->", "<script>", "</script>", '"', "'", "<li>", "<table><tr><td>", "<br/>", "</", "é"]
