@@ -19,7 +19,7 @@ Classes and n-grams are known by 64-bit hashes.
 
 Edge cases: null and empty texts have no n-grams and link with nothing; a text with fewer than n words is
 one n-gram; repeated rows share a class (with the least id); ties don't matter; a null id links like any other but
-gives no component id; extra columns are not read.
+gives no component id; one id on several texts stands for each of them; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -246,7 +246,10 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
     classes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("__id").alias("least"), F.count(F.lit(1)).alias("c")), "join-classes")
     several = classes.where("c > 1").select("node", "least")
     several = sized(several)
-    spare = rows.join(several, "node").where("__id > least").select("__id")
+    copies = staged(rows.join(several, "node").where("__id > least").groupBy("__id").agg(F.count(F.lit(1)).alias("k")), "join-copies")
+    # An id may stand on other texts too, which are to be signed: only ids of nothing but copies are left out.
+    total = rows.join(sized(copies.select("__id")), "__id", "left_semi").groupBy("__id").agg(F.count(F.lit(1)).alias("all"))
+    spare = copies.join(total, "__id").where("k = all").select("__id")
     singles = source.join(sized(staged(spare, "join-spare")), "__id", "left_anti")
 
     signed = map_arrow(singles.select("__text"), lambda it: _signed(it, n, percent), "sig long, node long")
@@ -254,8 +257,10 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
 
     def texts_of(nodes: DataFrame, name: str) -> DataFrame:
         """One text of each class."""
-        ids = nodes.join(classes, "node").select(F.col("least").alias("__id"))
-        return source.join(sized(staged(ids, name)), "__id", "left_semi").select("__text")
+        ids = staged(nodes.join(classes, "node").select(F.col("least").alias("__id")), name)
+        found = source.join(sized(ids.where("__id IS NOT NULL")), "__id", "left_semi").select("__text")
+        # Classes whose ids are all null are few or none: their texts are found among those without an id.
+        return found if ids.where("__id IS NULL").isEmpty() else found.unionAll(source.where("__id IS NULL").select("__text"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

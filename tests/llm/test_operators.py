@@ -166,6 +166,15 @@ def test_join_odd_rows(spark):
     assert kept.columns == odd_docs(spark).columns and kept.where("doc_id = 6").count() == 0
 
 
+def test_join_null_and_reused_ids(spark):
+    text = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    chain = [(1, text(0, 100)), (None, text(10, 110)), (3, text(20, 120))]  # 1 and 3 are linked by the null id only
+    reused = [(4, text(500, 600)), (5, text(500, 600)), (5, text(700, 800)), (7, text(705, 800))]
+    docs = spark.createDataFrame([*chain, *reused], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.join_groups(docs, 1, 80).collect() if r.doc_id in (1, 3, 7)}
+    assert got == {(1, 100): 1, (3, 100): 1, (7, 95): 5}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "u long, v long")
     got = {r.node: r.component for r in common.components(edges).collect()}
