@@ -23,8 +23,8 @@ def table_cell(policy: TablePolicy) -> Column:
     return flat_index([bin_index(F.col(f).cast("double"), policy.cuts[f]) for f in policy.features], policy.table_shape)
 
 
-def trees_score(policy: TreesPolicy) -> Column:
-    """The boosted trees' probability, null where a feature is null."""
+def trees_sum(policy: TreesPolicy) -> Column:
+    """The weighted sum of the boosted trees, null where a feature is null."""
 
     def sql(node) -> str:
         if not isinstance(node, (list, tuple)):
@@ -34,13 +34,14 @@ def trees_score(policy: TreesPolicy) -> Column:
 
     terms = ", ".join(f"{float(w)!r}D * {sql(t)}" for w, t in zip(policy.weights, policy.trees, strict=True))
     known = " AND ".join(f"`{f}` IS NOT NULL" for f in policy.features)
-    return F.when(F.expr(known), sigmoid(2 * F.expr(f"aggregate(array({terms}), 0D, (a, x) -> a + x)")))
+    return F.when(F.expr(known), F.expr(f"aggregate(array({terms}), 0D, (a, x) -> a + x)"))
 
 
 def with_table_score(df: DataFrame, policy: TablePolicy | TreesPolicy, name: str = "score") -> DataFrame:
     """Cell of the lookup table (or the trees' sum), then isotonic calibration."""
     if isinstance(policy, TreesPolicy):
-        scored = df.withColumn("__raw", trees_score(policy))
+        # The long sum is a column of its own, as the expressions after it name it several times.
+        scored = df.withColumn("__sum", trees_sum(policy)).withColumn("__raw", sigmoid(2 * F.col("__sum"))).drop("__sum")
         return scored.withColumn(name, isotonic(F.col("__raw"), policy.isotonic_x, policy.isotonic_y)).drop("__raw")
     if len(policy.table) <= LITERAL_CELLS:
         raw = F.get(F.array(*(F.lit(float(v)) for v in policy.table)), table_cell(policy).cast("int"))
