@@ -9,11 +9,12 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: UTC for calendar functions; adaptive plans with skew handling; state that outgrows memory.
+#: UTC for calendar functions; adaptive plans with skew handling; Python workers fed in small batches; state that outgrows memory.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
@@ -31,8 +32,18 @@ def build_session(app: str = "sluicegate", master: str | None = None, **extra: s
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (one machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluicegate-")).rstrip("/")
+    """The folder that driver and executors share: `spark.checkpoint.dir`.
+
+    Where that is unset on one machine (tests), a temporary folder stands in, the same one for the
+    whole session; on a cluster each executor would write to a disk of its own, so that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sluicegate.scratch.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="sluicegate-")
+        spark.conf.set("sluicegate.scratch.dir", found)
+    return found.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
