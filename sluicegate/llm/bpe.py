@@ -7,16 +7,19 @@ compatible when the merges of their joined text end in exactly these two; a sequ
 neighbours are all compatible is the one the merges give. Decoding reads one buffer of
 token texts through a table of offsets.
 
-Edge cases: a null text counts as empty; an empty text has no tokens and decodes to the empty
-string; special strings in a text become their special ids (the library's default); repeated
-rows, null ids and extra columns pass through untouched, as only id and text are read.
+Edge cases: a null text counts as empty; an empty text has no tokens and decodes to the empty string; a very
+long text is encoded whole, in memory in proportion to it; special strings in a text become their special ids (the
+library's default); there is one encoding, so no ties; repeated rows are each encoded; null ids pass through; an empty table
+gives an empty result; other extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -47,62 +50,105 @@ def byte_chars() -> list[str]:
     return out
 
 
+@dataclass(frozen=True)
+class Tables:
+    """What the workers need of a tokenizer file, made once on the driver: flat arrays, a few megabytes."""
+
+    texts: bytes  # symbols of all tokens one after another, UTF-16: one for each byte, 256 more at the end of a word
+    sizes: np.ndarray  # symbols of each token
+    left: np.ndarray  # of each merge, in order of rank
+    right: np.ndarray
+    whole: np.ndarray
+    usable: np.ndarray  # whether the merges ever give the token for its own text
+    written: tuple[np.ndarray, np.ndarray]  # what decoding writes for each token
+    special: dict[str, int]
+    pattern: str
+    normalizer: str  # the file's normalizer alone, as a tokenizer without a vocabulary
+
+    @property
+    def key(self) -> str:
+        return hashlib.sha256(b"".join([self.texts, self.sizes.tobytes(), self.left.tobytes(), self.right.tobytes(), self.normalizer.encode(), json.dumps([self.special, self.pattern]).encode()])).hexdigest()
+
+
+def tables_of(spec: str) -> Tables:
+    """Read the JSON text of a tokenizer file."""
+    parsed = json.loads(spec)
+    model = parsed["model"]
+    suffix, vocab = model["end_of_word_suffix"], model["vocab"]
+    special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+    symbol: dict[str, str] = {}
+    for b, c in enumerate(byte_chars()):
+        symbol[c], symbol[c + suffix] = chr(b), chr(b + 256)
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    for a, b in pairs:
+        symbol[a + b] = symbol[a] + symbol[b]
+    size = max([*vocab.values(), *special.values()]) + 1
+    text, written = [""] * size, [""] * size
+    for token, i in vocab.items():
+        text[i] = symbol.get(token, "")
+    for token, i in [*vocab.items(), *special.items()]:
+        written[i] = token
+    merges = np.array([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], np.int32).reshape(-1, 3)
+    bare = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": parsed["normalizer"], "pre_tokenizer": None, "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+    merge = Merger(text, *merges.T)
+    usable = np.array([bool(t) and merge(t) == [i] for i, t in enumerate(text)])
+    return Tables("".join(text).encode("utf-16-le"), np.array([len(t) for t in text], np.int32), *(np.ascontiguousarray(c) for c in merges.T), usable, _rows([(t + " ").encode() for t in written]), special, parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], json.dumps(bare))
+
+
+def _rows(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(rows), np.uint8), starts_of(np.array([len(r) for r in rows]))
+
+
+class Merger:
+    """Merges as defined, lowest rank first: used on short texts to fill tables."""
+
+    def __init__(self, text: list[str], left: np.ndarray, right: np.ndarray, whole: np.ndarray):
+        self._base = {t: i for i, t in enumerate(text) if len(t) == 1}
+        # Rank and result in one number: the least is the lowest rank.
+        self._join = dict(zip((left.astype(np.int64) << 20 | right)[::-1].tolist(), (np.arange(len(whole), dtype=np.int64) << 20 | whole)[::-1].tolist(), strict=True))
+
+    def __call__(self, text: str) -> list[int]:
+        ids = [self._base[c] for c in text]
+        while len(ids) > 1:
+            best, at = None, -1
+            for k in range(len(ids) - 1):
+                found = self._join.get(ids[k] << 20 | ids[k + 1])
+                if found is not None and (best is None or found < best):
+                    best, at = found, k
+            if best is None:
+                break
+            ids[at : at + 2] = [best & 0xFFFFF]
+        return ids
+
+
 class WordBPE:
-    """Encoder and decoder read from the JSON text of a tokenizer file."""
+    """Encoder and decoder over the tables of a tokenizer file."""
 
-    def __init__(self, spec: str):
+    def __init__(self, tables: Tables):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-        parsed = json.loads(spec)
-        model = parsed["model"]
-        self.suffix = model["end_of_word_suffix"]
-        vocab: dict[str, int] = model["vocab"]
-        split = parsed["pre_tokenizer"]["pretokenizers"][0]
-        self._words = regex.compile(split["pattern"]["Regex"])
-        self._library = Tokenizer.from_str(spec).normalizer
-        self._library_split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
-        self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-
-        # Symbols: one character for each byte, 256 more for a byte at the end of a word.
-        symbol: dict[str, str] = {}
-        for b, c in enumerate(byte_chars()):
-            symbol[c], symbol[c + self.suffix] = chr(b), chr(b + 256)
-        self._join: dict[int, tuple[int, int]] = {}
-        for rank, (left, right) in enumerate(model["merges"]):
-            whole = left + right
-            symbol[whole] = symbol[left] + symbol[right]
-            self._join.setdefault(vocab[left] << 20 | vocab[right], (rank, vocab[whole]))
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self._text = [""] * size
-        for token, i in vocab.items():
-            self._text[i] = symbol.get(token, "")
-        self._base = {self._text[i]: i for i in vocab.values() if len(self._text[i]) == 1}
-
+        self._words = regex.compile(tables.pattern)
+        self._library = Tokenizer.from_str(tables.normalizer).normalizer
+        self._library_split = pre_tokenizers.Split(Regex(tables.pattern), "removed", invert=True)
+        self.special = tables.special
+        self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        symbols, at = tables.texts.decode("utf-16-le"), starts_of(tables.sizes).tolist()
+        self._text = [symbols[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        self._length = tables.sizes.tolist()
+        self._merge = Merger(self._text, tables.left, tables.right, tables.whole)
         # A token that the merges never give for its own text occurs in no encoding.
-        self._length = [len(t) for t in self._text]
         self._automaton = ahocorasick.Automaton()
-        for i, t in enumerate(self._text):
-            if t and self._merge(t) == [i]:
-                self._automaton.add_word(t, i)
+        for i in np.flatnonzero(tables.usable).tolist():
+            self._automaton.add_word(self._text[i], i)
         self._automaton.make_automaton()
         self._fits: dict[int, bool] = {}
-
-        written = [""] * size
-        for token, i in [*vocab.items(), *self.special.items()]:
-            written[i] = token
-        self._texts = self._table([(t + " ").encode() for t in written])
-        self._decimals = self._table([f"{i} ".encode() for i in range(size)])
+        self._texts = tables.written
+        self._decimals = _rows([f"{i} ".encode() for i in range(len(self._text))])
         self._forget()
 
-    @staticmethod
-    def _table(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(rows), np.uint8), starts_of(np.array([len(r) for r in rows]))
-
     def _forget(self) -> None:
         self._slot: dict[str, int] = {}
-        self._ids: list[int] = []
-        self._sizes: list[int] = []
+        self._ids, self._sizes = array("i"), array("i")  # tokens of all known words, and each word's number of them
         self._uses = np.zeros(0, np.int64)
 
     def _shrink(self) -> None:
@@ -111,24 +157,14 @@ class WordBPE:
         while np.count_nonzero(self._uses >= least) > CACHE_WORDS // 2:
             least *= 2
         keep = np.flatnonzero(self._uses >= least)
-        ids, sizes = gather(np.array(self._ids, np.int32), starts_of(np.array(self._sizes, np.int64)), keep)
+        ids, sizes = self._tokens(keep)
         words = list(self._slot)
         self._slot = {words[k]: i for i, k in enumerate(keep.tolist())}
-        self._ids, self._sizes, self._uses = ids.tolist(), sizes.tolist(), self._uses[keep] // 2
+        self._ids, self._sizes, self._uses = array("i", ids.tobytes()), array("i", sizes.astype(np.int32).tobytes()), self._uses[keep] // 2
 
-    def _merge(self, text: str) -> list[int]:
-        """Merges as defined, lowest rank first: used on short texts to fill tables."""
-        ids = [self._base[c] for c in text]
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                found = self._join.get(ids[k] << 20 | ids[k + 1])
-                if found and (best is None or found < best):
-                    best, at = found, k
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
-        return ids
+    def _tokens(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the words in these slots one after another, and the number of each word's."""
+        return gather(np.frombuffer(self._ids, np.int32), starts_of(np.frombuffer(self._sizes, np.int32)), slots)
 
     def _compatible(self, left: int, right: int) -> bool:
         key = left << 20 | right
@@ -171,7 +207,7 @@ class WordBPE:
 
     def words(self, text: str) -> list[str]:
         """The words of a text; special strings stay whole."""
-        if "<" in text and self._special.search(text):
+        if any(x in text for x in self.special):
             return [w for part in self._special.split(text) for w in ([part] if part in self.special else self.words_of(part))]
         return self.words_of(text)
 
@@ -204,7 +240,7 @@ class WordBPE:
         uses = np.bincount(slots, minlength=len(self._sizes))
         uses[: len(self._uses)] += self._uses
         self._uses = uses
-        ids, sizes = gather(np.array(self._ids, np.int32), starts_of(np.array(self._sizes, np.int64)), slots)
+        ids, sizes = self._tokens(slots)
         ends = starts_of(sizes)[starts_of(counts)]
         return ids, np.diff(ends)
 
@@ -230,44 +266,42 @@ def forget() -> None:
     _LOADED.clear()
 
 
-def loaded(spec: str) -> WordBPE:
+def loaded(tables: Tables) -> WordBPE:
     """One encoder for each tokenizer in a worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
+    key = tables.key
     if key not in _LOADED:
-        _LOADED[key] = WordBPE(spec)
+        _LOADED[key] = WordBPE(tables)
     return _LOADED[key]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, with_ids: bool = True, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode every whole text.
 
-    Returns the id column, the columns in `carry`, n_tokens, ids (array of int, if with_ids),
+    Returns the id column, the columns in `carry` (but those named as a result), n_tokens, ids (array of int, if with_ids),
     decoded (if with_text), ids_sha256 and decoded_sha256. The tokenizer file is read on the
-    driver and sent to the workers; its size is that of the vocabulary, whatever the data's.
+    driver, made into tables and sent to the workers; their size is that of the vocabulary, whatever the data's.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
-    kept = docs.select(F.col(id_col), *(F.col(c) for c in carry), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields[:-1]]
-    fields += ["n_tokens long"] + ["ids array<int>"] * with_ids + ["decoded string"] * with_text + ["ids_sha256 string", "decoded_sha256 string"]
+        tables = spark.sparkContext.broadcast(tables_of(f.read()))
+    added = {"n_tokens": "long"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_text else {}) | {"ids_sha256": "string", "decoded_sha256": "string"}
+    names = [id_col, *(c for c in carry if c not in added and c != id_col)]
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(names)), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
+    fields = [f"{x.name} {x.dataType.simpleString()}" for x in kept.schema.fields[:-1]] + [f"{name} {kind}" for name, kind in added.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec.value)
+        bpe = loaded(tables.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in chunks(np.array([len(t) for t in texts], np.int64), CHUNK_CHARS):
                 ids, counts = bpe.encode_batch(texts[a:b])
                 decoded = bpe.decode_batch(ids, counts)
                 columns = [c.slice(a, b - a) for c in batch.columns[:-1]] + [pa.array(counts, pa.int64())]
-                names = [*batch.schema.names[:-1], "n_tokens"]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(starts_of(counts), pa.int32()), pa.array(ids, pa.int32())))
-                    names.append("ids")
                 if with_text:
                     columns.append(pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string()))
-                    names.append("decoded")
                 columns += [pa.array([hashlib.sha256(x).hexdigest() for x in side], pa.string()) for side in (bpe.decimal_batch(ids, counts), decoded)]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *added])
 
-    return map_arrow(kept, run, ", ".join(fields))
+    return map_arrow(kept, run, ", ".join(fields)).toDF(*names, *added)

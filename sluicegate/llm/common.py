@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import sys
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import scratch_dir, ship
 
 
 #: Bytes of an Arrow batch that goes to a worker, where the session has Spark's default of 64 MB.
@@ -22,7 +22,10 @@ ARROW_BYTES, ARROW_BYTES_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBy
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package on the workers, fed with batches of bounded bytes (texts are long)."""
+    """mapInArrow with this package on the workers, fed with batches of bounded bytes (texts are long).
+
+    Spark reads the bound when a job starts, so it is set for the session, where that has Spark's default.
+    """
     spark = df.sparkSession
     ship(spark)
     if spark.conf.get(ARROW_BYTES) == ARROW_BYTES_DEFAULT:
@@ -41,6 +44,7 @@ def tidy(module: str) -> None:
     for name, other in list(sys.modules.items()):
         if name.startswith(__package__ + ".") and name != module and hasattr(other, "forget"):
             other.forget()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)
@@ -51,26 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`.
-
-    Only where that is unset (tests, one machine) a temporary folder stands in, and it is
-    remembered in the session so that later calls reuse it.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("sluicegate.staging.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="sluicegate-")
-        spark.conf.set("sluicegate.staging.dir", found)
-    return found
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back.
 
     A lost executor then costs a reread of files, not a rerun of all that came before.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sluicegate-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/sluicegate-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -137,7 +128,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     state = None
     while True:
-        pairs = both(now)
+        before, pairs = now, both(now)
         low = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = pairs.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionAll(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
@@ -145,8 +136,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = staged(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
         new = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if new == state:
+        if new == state and now.join(before, ["u", "v"], "left_anti").isEmpty():  # sums may agree by chance
+            dropped(before)
             break
         state = new
+        dropped(before)
     nodes = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    return staged(nodes.unionAll(nodes.select(F.col("component").alias("node"), "component").distinct()), name)
+    out = staged(nodes.unionAll(nodes.select(F.col("component").alias("node"), "component").distinct()), name)
+    dropped(now)
+    return out

@@ -40,7 +40,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2**64, at least n of them."""
     if len(_POWERS.get("up", ())) < n:
-        base, size = _ODD, max(n, 1 << 20)
+        base, size = _ODD, max(n, 1 << 19)
         for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
             p = np.full(size, b, np.uint64)
             p[0] = 1
@@ -48,6 +48,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def forget() -> None:
+    _POWERS.clear()
+
+
 @cache
 def ascii_folded() -> np.ndarray:
     """Byte to byte: A-Z to a-z, all others kept."""

@@ -65,7 +65,7 @@ def fuzz(n=600):
 
 
 def test_bpe_matches_library():
-    own, library = bpe.WordBPE(open(WORD).read()), Tokenizer.from_file(WORD)
+    own, library = bpe.WordBPE(bpe.tables_of(open(WORD).read())), Tokenizer.from_file(WORD)
     texts = fuzz()
     ids, counts = own.encode_batch(texts)
     decoded, decimals = own.decode_batch(ids, counts), own.decimal_batch(ids, counts)
