@@ -1,14 +1,14 @@
 """Quality selection by importance resampling.
 
 Two generative models over hashed word uni- and bigrams: one of the target texts (labelled
-good), one of all raw texts. A text's log weight is the sum of the log ratios of its n-grams, brought
-to one length for sampling; adding Gumbel noise drawn from a hash of its id and taking the top k is
+good), one of all raw texts. A text's log weight is the log of the ratio of the two models, the sum of the log
+ratios of its n-grams; adding Gumbel noise drawn from a hash of its id and taking the top k is
 sampling without replacement in proportion to the weights. The k-th largest key is found exactly by narrowing
 histograms, so no rows are sorted or gathered in one place.
 
-Edge cases: a null or empty text has weight 0 (log), as do all texts when there is no target; repeated
-rows get equal weights; rows that tie with the k-th key are all selected; a null id draws its
-noise as an id of its own; extra columns are not read.
+Edge cases: a null or empty text has weight 0 (log), as do all texts when there is no target; very long texts
+are weighed whole; repeated rows get equal weights; rows that tie with the k-th key are all selected; a null id draws its
+noise as an id of its own; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +47,7 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     ids = target_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct()
     n = ids.count()
     if n > max_target:
-        ids = ids.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < round(1_000_000 * max_target / n))
+        ids = ids.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 52)) < F.lit(int((1 << 52) * max_target / n)))
     marked = docs.select(id_col, F.col(text_col).alias("__text")).join(F.broadcast(ids.withColumn("__target", F.lit(True))), id_col, "left").select("__text", F.coalesce("__target", F.lit(False)).alias("__target"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +69,11 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     return np.log(good / good.sum()) - np.log(raw / raw.sum())
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in `carry`, n_features and log_weight of every document."""
+def weigh(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("n_features", "log_weight")) -> DataFrame:
+    """The columns in `carry` and, under `names`, the number of n-grams and the log weight of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    kept = docs.select(*(F.col(c) for c in carry), F.col(text_col).alias("__text"))
+    carry = tuple(c for c in carry if c not in names)
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"__c{k}") for k, c in enumerate(carry)), F.col(f"`{text_col}`").alias("__text"))
     fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in kept.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +82,9 @@ def weigh(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", carry: tu
             for a, b, bucket, owner in _features(batch.column(batch.num_columns - 1).to_pylist()):
                 total[a:b] = np.bincount(owner, shared.value[bucket], b - a)
                 size[a:b] = np.bincount(owner, minlength=b - a)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64()), pa.array(total, pa.float64())], [*batch.schema.names[:-1], "n_features", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(size, pa.int64()), pa.array(total, pa.float64())], [*batch.schema.names[:-1], "__n", "__w"])
 
-    return map_arrow(kept, run, ", ".join([*fields, "n_features long", "log_weight double"]))
+    return map_arrow(kept, run, ", ".join([*fields, "__n long", "__w double"])).toDF(*carry, *names)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 2048) -> float | None:
@@ -105,17 +106,17 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 2048) -> float
     return low
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = 0.6, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, fraction: float = 0.6, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", one_length: bool = False) -> DataFrame:
     """id, n_features, log_weight, sample_key and selected of every document; ceil(fraction * n) are selected.
 
-    Weights are compared at one length: a text's log weight an n-gram, times the mean number of n-grams
-    of all texts, so that length alone neither saves a bad text nor costs a good one its place.
+    The sampling weight is the ratio of the models. With `one_length` weights are compared at one length instead:
+    a text's log weight an n-gram, times the mean number of n-grams of all texts.
     """
     ratios = log_ratios(docs, target_ids, id_col, text_col)
     weighed = staged(weigh(docs, ratios, text_col, (id_col,)), "quality-weights")
     n, mean = weighed.agg(F.count(F.lit(1)), F.avg("n_features")).first()
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    level = F.col("log_weight") / F.greatest("n_features", F.lit(1)) * F.lit(mean or 0.0)
+    level = F.col("log_weight") / F.greatest("n_features", F.lit(1)) * F.lit(mean or 0.0) if one_length else F.col("log_weight")
     keyed = weighed.withColumn("sample_key", level - F.log(-F.log(uniform)))
     limit = kth_largest(keyed, "sample_key", -int(-n * fraction // 1))
     return keyed.withColumn("selected", F.lit(False) if limit is None else F.col("sample_key") >= F.lit(limit))
