@@ -5,9 +5,10 @@ round finds the lowest rank among each sequence's adjacent pairs and merges that
 everywhere in the sequence, for all sequences at once; the symbols that survive are counted.
 A pair made by a merge always ranks after it, so this order gives the merges as defined.
 
-Edge cases: a null or empty text has no tokens and no bytes; special strings inside a text
-count as one token each (the library's default); ties cannot occur between ranks; only id and
-text are read, so repeated rows and extra columns don't matter.
+Edge cases: a null or empty text has no tokens and no bytes; a very long text is counted whole, in memory
+of some forty bytes a byte of its new pre-tokens; special strings inside a text count as one token each (the
+library's default); ties cannot occur between ranks; an empty table gives an empty result; repeated rows are each
+counted; a null id stays null; only id and text are read, so extra columns don't matter whatever their names.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ class ByteBPECounter:
         self._split = regex.compile(SPLIT)
         self._library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self._byte_of = {c: b for b, c in enumerate(byte_chars())}
-        special = sorted((t["content"] for t in parsed["added_tokens"]), key=len, reverse=True)
-        self._special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self._names = sorted((t["content"] for t in parsed["added_tokens"]), key=len, reverse=True)
+        self._special = regex.compile("|".join(map(regex.escape, self._names))) if self._names else None
         self._known: dict[str, int] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -108,7 +109,7 @@ class ByteBPECounter:
         extra = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             parts = [text]
-            if self._special is not None and "<" in text:
+            if any(x in text for x in self._names):
                 parts = self._special.split(text)
                 extra[k] = len(parts) - 1
             found = [p for part in parts for p in self.pieces(part)]
