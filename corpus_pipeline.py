@@ -23,8 +23,8 @@ LEAST_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
     model = langid.fit(docs.where(~langid.held_out()))
-    judged = langid.predict(docs, model, carry=tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = langid.predict(docs, model, carry=tuple(docs.columns), names=("__lang_pred", "__score"))
+    return judged.where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SCORE)).drop("__lang_pred", "__score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
