@@ -15,11 +15,12 @@ the links join groups, and only members of different groups go on to the next ro
 more pivots, until no bucket holds two groups with a pair not compared. No link between two
 groups is lost, and a large group of near copies costs as many comparisons as it has members.
 
-Classes and n-grams are known by 64-bit hashes.
+A large bucket is split over tasks, each of which has its pivots. Classes and n-grams are known by 64-bit hashes.
 
 Edge cases: null and empty texts have no n-grams and link with nothing; a text with fewer than n words is
-one n-gram; repeated rows share a class (with the least id); ties don't matter; a null id links like any other but
-gives no component id; one id on several texts stands for each of them; extra columns are not read.
+one n-gram; very long texts are read whole; repeated rows share a class (with the least id); ties don't matter, as every
+link counts; a null id links like any other but gives no component id; one id on several texts stands for each of them; an
+empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -36,6 +37,8 @@ from .common import chunks, components, dropped, map_arrow, sized, staged, start
 
 CHUNK_BYTES = 400_000
 CELLS = 3
+#: Rows of one bucket that a task reads at most; larger buckets are split.
+BUCKET_ROWS = 1000
 _PART, _CELL, _SUM, _SET = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F, 0x510E527FADE682D1))
 
 
@@ -185,22 +188,26 @@ def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
 
 
 def _paired(batches: Iterator[pa.RecordBatch], pivots: int, percent: int, sketched: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, comp, node, n, sketch) sorted by sig: pairs of the first `pivots` rows of a bucket with all after
-    them that are of another group and may be similar (sig is null), and the rows that were no pivots (b is null)."""
-    bucket, held = None, []
+    """Of rows (sig, part, pivot, comp, node, n, sketch) sorted by these: pairs of a bucket's pivots with all other rows
+    that are of another group and may be similar (sig is null), and the rows that were no pivots (b is null).
+
+    The pivots are the first `pivots` rows of a bucket; where it is split into parts they stand, marked, in each.
+    """
+    bucket, held, split = None, [], False
     for batch in batches:
         a, b, rest_sig, rest_node = [], [], [], []
-        columns = [batch.column(k).to_pylist() for k in range(5 if sketched else 4)]
+        columns = [batch.column(k).to_pylist() for k in range(7 if sketched else 6)]
         if not sketched:
             columns.append([b""] * batch.num_rows)
-        for sig, comp, node, n, sketch in zip(*columns, strict=True):
-            if sig != bucket:
-                bucket, held = sig, []
-            for own, pivot, m, other in held:
-                if own != comp and (not sketched or may_link(n, sketch, m, other, percent)):
-                    a.append(min(pivot, node))
-                    b.append(max(pivot, node))
-            if len(held) < pivots:
+        for sig, part, marked, comp, node, n, sketch in zip(*columns, strict=True):
+            if (sig, part) != bucket:
+                bucket, held, split = (sig, part), [], marked
+            if not (marked and part):  # pivots meet each other in the first part only
+                for own, pivot, m, other in held:
+                    if own != comp and (not sketched or may_link(n, sketch, m, other, percent)):
+                        a.append(min(pivot, node))
+                        b.append(max(pivot, node))
+            if marked if split else len(held) < pivots:
                 held.append((comp, node, n, sketch))
             else:
                 rest_sig.append(sig)
@@ -211,6 +218,27 @@ def _paired(batches: Iterator[pa.RecordBatch], pivots: int, percent: int, sketch
         yield _pair_rows(a, b, rest_sig, rest_node)
 
 
+def _dealt(rows: DataFrame, buckets: DataFrame, pivots: int, columns: list[str]) -> DataFrame:
+    """Rows of the buckets (sig, node) in the order that _paired wants; a bucket over BUCKET_ROWS is split into parts of about that
+    size, each with all its pivots, so that no task reads a large bucket alone."""
+    large = staged(buckets.groupBy("sig").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BUCKET_ROWS), "join-large")
+    if large.isEmpty():
+        rows = rows.withColumn("part", F.lit(0)).withColumn("pivot", F.lit(False))
+    else:
+        sized_large = sized(large)
+        plain = rows.join(sized_large, "sig", "left_anti").withColumn("part", F.lit(0)).withColumn("pivot", F.lit(False))
+        parts = F.ceil(F.col("__n") / BUCKET_ROWS).cast("int")
+        split = rows.join(sized_large, "sig").withColumn("__parts", parts).drop("__n")
+        order = Window.partitionBy("sig").orderBy(F.desc("degree"), "node")
+        chosen = split.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= pivots).drop("__r")
+        chosen = staged(chosen, "join-pivots")
+        others = split.join(sized(chosen.select("sig", "node")), ["sig", "node"], "left_anti")
+        others = others.withColumn("part", F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int")).withColumn("pivot", F.lit(False))
+        everywhere = chosen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).withColumn("pivot", F.lit(True))
+        rows = plain.unionByName(others.drop("__parts")).unionByName(everywhere.drop("__parts"))
+    return rows.repartition("sig", "part").sortWithinPartitions("sig", "part", F.desc("pivot"), F.desc("degree"), "node").select("sig", "part", "pivot", *columns)
+
+
 def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of pairs (a, b, n, x, m, y): those that their sketches don't rule out."""
     for batch in batches:
@@ -253,7 +281,7 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
     singles = source.join(sized(staged(spare, "join-spare")), "__id", "left_anti")
 
     signed = map_arrow(singles.select("__text"), lambda it: _signed(it, n, percent), "sig long, node long")
-    buckets = staged(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "join-buckets")
+    buckets = staged(map_arrow(signed.repartition("sig").sortWithinPartitions("sig", "node"), _shared, "sig long, node long"), "join-buckets")
 
     def texts_of(nodes: DataFrame, name: str) -> DataFrame:
         """One text of each class."""
@@ -287,12 +315,12 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
         else:
             labelled = buckets.join(sized(comps), "node", "left").select("sig", F.coalesce("component", "node").alias("comp"), "node")
             rows_now = _open(staged(labelled, "join-open")).join(facts, "node")
-        ordered = rows_now.repartition("sig").sortWithinPartitions("sig", F.desc("degree"), "node").select("sig", "comp", "node", "n", *(["sketch"] if later else []))
-        step = staged(ordered.mapInArrow(lambda it, p=pivots, later=later: _paired(it, p, percent, later), "sig long, a long, b long"), "join-step")
+        ordered = _dealt(rows_now, buckets, pivots, ["comp", "node", "n", *(["sketch"] if later else [])])
+        step = staged(map_arrow(ordered, lambda it, p=pivots, later=later: _paired(it, p, percent, later), "sig long, a long, b long"), "join-step")
         pairs = step.where("b IS NOT NULL").select("a", "b").distinct()
         if not later:  # otherwise the sketches were seen already
             x, y = facts.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), facts.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
-            pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(lambda it: _likely(it, percent), "a long, b long")
+            pairs = map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "x", "m", "y"), lambda it: _likely(it, percent), "a long, b long")
         pairs = staged(pairs, "join-pairs")
         needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
         held = staged(map_arrow(texts_of(needed, "join-wanted"), sets, "node long, grams array<long>").dropDuplicates(["node"]), "join-sets")
@@ -308,7 +336,7 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
             break
         if comps is None:
             comps = buckets.sparkSession.createDataFrame([], "node long, component long")
-        pivots *= 32
+        pivots *= 30
 
     dropped(facts, step)
     ids = classes.select("node", "least")
@@ -325,7 +353,7 @@ def join_groups(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "d
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that with the least id, with all its columns; null ids stay."""
+    """The documents of each group with its least id, with all their columns; null ids stay, and so do repeated rows of that id."""
     extra = join_groups(docs, n, percent, id_col, text_col).where(f"component_id < `{id_col}`").select(F.col(id_col).alias("__gone"))
     gone = staged(extra, "join-gone")
     return docs.join(sized(gone), docs[id_col] == gone["__gone"], "left_anti")

@@ -131,8 +131,9 @@ def test_join_matches_all_pairs(spark, n, percent, seed):
     assert got == joined(texts, n, percent)
 
 
-def test_join_large_group(spark):
-    """A group of near copies with outliers: exact, and far fewer comparisons than pairs."""
+def test_join_large_group(spark, monkeypatch):
+    """A group of near copies with outliers, its buckets split: exact, and far fewer comparisons than pairs."""
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 20)
     rng = np.random.default_rng(9)
     base = words(rng, 120, 10_000)
     texts = []
