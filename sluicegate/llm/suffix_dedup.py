@@ -10,11 +10,13 @@ in their turn. A window that two different texts hold is a repeated passage, and
 ones unite to the longest. The text with the least id is a passage's first holder.
 
 Equal texts are one class with one representative; its copies are repeats as a whole. Words
-are runs of non-white space, case of A-Z apart; heads and windows are compared by 64-bit hashes.
+are runs of non-white space, case of A-Z apart. Order and equality of heads, windows and texts go by two independent
+64-bit hashes of their words together, 128 bits: only which suffixes are neighbours matters, not the alphabet, and
+among 10^13 of them a false match is expected 10^-13 times.
 
-Edge cases: null, empty and short texts hold no passage; a passage repeated only inside one text is left alone;
-a null id is no holder and is left as it is; repeated rows (same id) count as one text; ties go to the least id;
-extra columns are not read.
+Edge cases: null, empty and short texts hold no passage; very long texts are read whole; a passage repeated only inside
+one text is left alone; ids are whole numbers, and a null id is no holder and is left as it is; repeated rows (same id) count
+as one text; ties go to the least id; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,19 +37,26 @@ CHUNK_BYTES = 400_000
 HOT_ROWS = 10_000
 #: Words of the n-grams whose least hash selects a place.
 GRAM = 3
+_SECOND = np.uint64(0x2545F4914F6CDD1D)
+_ROWS = "key long, also long, id long, at int, size int"
 
 
-def _hash_runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums and falling powers from which the hash of any run of words follows."""
-    up, down = wordhash._powers(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    return sums, down
+class Runs:
+    """Two independent 64-bit hashes of any run of words, from prefix sums and falling powers."""
 
+    def __init__(self, hashes: np.ndarray):
+        up, self._down = wordhash._powers(len(hashes) + 1)
+        self._sums = []
+        for own in (hashes, wordhash.mix(hashes ^ _SECOND)):
+            sums = np.zeros(len(hashes) + 1, np.uint64)
+            np.cumsum(own * up[: len(hashes)], out=sums[1:])
+            self._sums.append(sums)
 
-def run_hash(sums: np.ndarray, down: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` words from each place; equal runs of words have equal hashes."""
-    return wordhash.mix((sums[begin + size] - sums[begin]) * down[begin])
+    def of(self, begin: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes, as signed numbers, of the `size` words from each place; equal runs have equal hashes."""
+        fall, length = self._down[begin], np.asarray(size, np.uint64)
+        one, two = (wordhash.mix((s[begin + size] - s[begin]) * fall + length) for s in self._sums)
+        return one.view(np.int64), two.view(np.int64)
 
 
 def places(w: wordhash.Words, least: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +102,9 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int, wordhash.Words]
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, id): those whose key has two ids at least, with the first of them.
+    """Of rows sorted by (key, also, id): those whose (key, also) has two ids at least, with the first of them.
 
-    Columns key, id, at, size in; id, at, size, first out. Only the rows of a key's first id wait in
+    Columns key, also, id, at, size in; id, at, size, first out. Only the rows of a key's first id wait in
     memory until a second id comes, and they are of one text.
     """
     held_key, held_id, told = None, None, False
@@ -103,73 +112,54 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, who, at, size = (batch.column(k).to_numpy() for k in range(4))
-        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        group = np.cumsum(np.r_[0, (key[1:] != key[:-1]).astype(np.int64)])
+        key, also, who, at, size = (batch.column(k).to_numpy() for k in range(5))
+        new = (key[1:] != key[:-1]) | (also[1:] != also[:-1])
+        edges = np.flatnonzero(np.r_[True, new])
+        group = np.cumsum(np.r_[0, new.astype(np.int64)])
+        goes_on = (key[0], also[0]) == held_key
         first = who[edges][group]
-        if key[0] == held_key:
+        if goes_on:
             first[group == 0] = held_id
         last_of = np.r_[edges[1:], len(key)] - 1
         several = who[last_of] != first[last_of]
         out_id, out_at, out_size, out_first = [], [], [], []
-        if key[0] == held_key:
-            if several[0] or told:
-                for a, s in waiting:
-                    out_id.append(np.full(len(a), held_id))
-                    out_at.append(a)
-                    out_size.append(s)
-                    out_first.append(np.full(len(a), held_id))
-                waiting = []
-                told = True
-                several[0] = True
+        if goes_on and (several[0] or told):
+            for a, s in waiting:
+                out_id.append(np.full(len(a), held_id))
+                out_at.append(a)
+                out_size.append(s)
+                out_first.append(np.full(len(a), held_id))
+            waiting, told = [], True
+            several[0] = True
         keep = several[group]
         out_id.append(who[keep])
         out_at.append(at[keep])
         out_size.append(size[keep])
         out_first.append(first[keep])
-        if key[-1] != held_key or len(edges) > 1:
-            held_key, held_id, told, waiting = key[-1], first[-1], bool(several[-1]), []
+        if not goes_on or len(edges) > 1:
+            held_key, held_id, told, waiting = (key[-1], also[-1]), first[-1], bool(several[-1]), []
         if not told:
             tail = group == group[-1]
             waiting.append((at[tail].copy(), size[tail].copy()))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip((out_id, out_at, out_size, out_first), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["id", "at", "size", "first"])
 
 
-class _Frequent:
-    """Keys that are frequent in the rows of one task: they come out as rows with at = -1 and their count as size."""
-
-    def __init__(self):
-        self._count: dict[int, int] = {}
-
-    def add(self, keys: np.ndarray) -> None:
-        value, count = np.unique(keys, return_counts=True)
-        often = count >= 8
-        for v, c in zip(value[often].tolist(), count[often].tolist(), strict=True):
-            self._count[v] = self._count.get(v, 0) + c
-
-    def rows(self) -> pa.RecordBatch:
-        kept = [(k, c) for k, c in self._count.items() if c >= 64]
-        n = len(kept)
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.nulls(n, pa.int64()), pa.array([-1] * n, pa.int32()), pa.array([c for _, c in kept], pa.int32())], ["key", "id", "at", "size"])
-
-
 def _sorted_repeats(rows: DataFrame, name: str) -> DataFrame:
-    """Neighbours compared in sorted order: key, id, at, size in; the repeated rows and their first id out.
+    """Neighbours compared in sorted order: key, also, id, at, size in; the repeated rows and their first id out.
 
     A key with over a thousandth of all rows (there are a thousand such at most, so they may be literals)
     would be one task's work: its least and greatest id come from partial aggregation instead, and its rows
     stay where they are.
     """
     rows = staged(rows, name)
-    real = rows.where("at >= 0")
-    marks = rows.where("at < 0").groupBy("key").agg(F.sum("size").alias("n"))
-    hot = [r["key"] for r in marks.where(F.col("n") > max(HOT_ROWS, real.count() // 1000)).collect()]
-    cold = real.where(~F.col("key").isin(hot)) if hot else real
-    out = cold.select("key", "id", "at", "size").repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(_repeated, "id long, at int, size int, first long")
-    ends = real.where(F.col("key").isin(hot)).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").collect() if hot else []
-    if ends:
-        first = F.try_element_at(F.create_map(*(F.lit(x) for r in ends for x in (r["key"], r["first"]))), F.col("key"))
-        out = out.unionAll(real.where(F.col("key").isin([r["key"] for r in ends])).select("id", "at", "size", first.alias("first")))
+    most = max(HOT_ROWS, rows.count() // 1000)
+    hot = [r["key"] for r in rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key").collect()]
+    cold = rows.where(~F.col("key").isin(hot)) if hot else rows
+    out = map_arrow(cold.repartition("key").sortWithinPartitions("key", "also", "id", "at"), _repeated, "id long, at int, size int, first long")
+    if hot:
+        warm = rows.where(F.col("key").isin(hot))
+        ends = staged(warm.groupBy("key", "also").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), f"{name}-hot")
+        out = out.unionAll(warm.join(sized(ends), ["key", "also"]).select("id", "at", "size", "first"))
     return out
 
 
@@ -205,35 +195,29 @@ def repeats(docs: DataFrame, least: int = 50, gap: int = 20, id_col: str = "doc_
         for batch in batches:
             for a, b, w in _chunks(batch.column(1).to_pylist()):
                 at = starts_of(w.counts())
-                sums, down = _hash_runs(w.hash)
-                whole = wordhash.mix((sums[at[1:]] - sums[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), pa.array(whole.view(np.int64))], ["id", "n_words", "whole"])
+                whole, also = Runs(w.hash).of(at[:-1], np.diff(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), pa.array(whole), pa.array(also)], ["id", "n_words", "whole", "also"])
 
-    rows = staged(map_arrow(source, keyed, "id long, n_words int, whole long").where(F.col("n_words") >= least), "suffix-rows")
-    copied = staged(rows.groupBy("whole").agg(F.min("id").alias("rep"), F.max("id").alias("__most")).where("rep < __most").select("whole", "rep"), "suffix-copied")
-    copies = staged(rows.join(sized(copied), "whole").where("id > rep").select("id", "n_words", "rep"), "suffix-copies")
+    rows = staged(map_arrow(source, keyed, "id long, n_words int, whole long, also long").where(F.col("n_words") >= least), "suffix-rows")
+    copied = staged(rows.groupBy("whole", "also").agg(F.min("id").alias("rep"), F.max("id").alias("__most")).where("rep < __most").select("whole", "also", "rep"), "suffix-copied")
+    copies = staged(rows.join(sized(copied), ["whole", "also"]).where("id > rep").select("id", "n_words", "rep"), "suffix-copies")
     singles = source.join(sized(copies.select("id")), "id", "left_anti")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = _Frequent()
         for batch in batches:
             who = batch.column(0).to_numpy()
             for a, b, w in _chunks(batch.column(1).to_pylist()):
                 place, first, size = places(w, least, gap)
-                sums, down = _hash_runs(w.hash)
-                key = run_hash(sums, down, place, least - gap + 1)
+                key, also = Runs(w.hash).of(place, least - gap + 1)
                 owner = w.owner[place]
                 at = first - starts_of(w.counts())[owner]
-                frequent.add(key.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who[a:b][owner]), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "id", "at", "size"])
-        yield frequent.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(also), pa.array(who[a:b][owner]), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "also", "id", "at", "size"])
 
-    met = staged(_sorted_repeats(map_arrow(singles, heads, "key long, id long, at int, size int"), "suffix-head-rows"), "suffix-heads")
+    met = staged(_sorted_repeats(map_arrow(singles, heads, _ROWS), "suffix-head-rows"), "suffix-heads")
     per_text = met.groupBy("id").agg(F.collect_list(F.struct("at", "size")).alias("places"))
     extended = singles.join(per_text.hint("shuffle_hash"), "id").select("id", "__text", "places")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = _Frequent()
         for batch in batches:
             who = batch.column(0).to_numpy()
             held = batch.column(2)
@@ -246,15 +230,12 @@ def repeats(docs: DataFrame, least: int = 50, gap: int = 20, id_col: str = "doc_
                 begin = np.repeat(at, size)
                 begin += np.arange(len(begin)) - np.repeat(starts_of(size)[:-1], size)
                 own = np.repeat(own, size)
-                sums, down = _hash_runs(w.hash)
-                key = run_hash(sums, down, base[own] + begin, least)
-                frequent.add(key.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who[a:b][own]), pa.array(begin.astype(np.int32)), pa.array(np.full(len(own), 1, np.int32))], ["key", "id", "at", "size"])
-        yield frequent.rows()
-
-    found = _sorted_repeats(map_arrow(extended, windows, "key long, id long, at int, size int"), "suffix-window-rows")
-    spans = found.groupBy("id").agg(F.collect_list(F.struct("at", "first")).alias("windows")).mapInArrow(lambda it: _spans(it, least), "id long, spans array<struct<begin:int,end:int,first:long>>")
-    spans = staged(spans, "suffix-spans")
+                key, also = Runs(w.hash).of(base[own] + begin, least)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(also), pa.array(who[a:b][own]), pa.array(begin.astype(np.int32)), pa.array(np.full(len(own), 1, np.int32))], ["key", "also", "id", "at", "size"])
+
+    found = _sorted_repeats(map_arrow(extended, windows, _ROWS), "suffix-window-rows")
+    spans = found.groupBy("id").agg(F.collect_list(F.struct("at", "first")).alias("windows"))
+    spans = staged(map_arrow(spans, lambda it: _spans(it, least), "id long, spans array<struct<begin:int,end:int,first:long>>"), "suffix-spans")
     dropped(met)
 
     whole = copies.select("id", "n_words", F.col("rep").alias("copy_of"), F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").alias("end"), F.col("rep").alias("first"))).alias("spans"))
