@@ -11,11 +11,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import bucketed
 from .quantiles import exact_quantiles
 
 MODERATE, SIGNIFICANT = 0.1, 0.25
 EMPTY_SHARE = 1e-4
 P_LEVEL = 0.05
+#: Samples up to this many rows a side get an exact p-value.
+EXACT_ROWS = 10_000
 
 
 def unpivoted(df: DataFrame, features: list[str]) -> DataFrame:
@@ -49,16 +52,15 @@ def psi_of_rows(ref: DataFrame, cur: DataFrame, bins: int = 10) -> DataFrame:
     return both.groupBy("feature").agg(F.sum((a - r) * F.ln(a / r)).alias("psi"))
 
 
-def ks(reference: DataFrame, current: DataFrame, features: list[str], buckets: int = 1024) -> DataFrame:
+def ks(reference: DataFrame, current: DataFrame, features: list[str], buckets: int = 128) -> DataFrame:
     """feature, statistic, n_reference, n_current of the two-sample Kolmogorov-Smirnov test.
 
-    Distinct values are ranked inside value buckets, whose sums are added up first.
+    Distinct values are ranked inside buckets between quantiles, whose sums are added up first.
     """
     rows = unpivoted(reference, features).withColumn("__r", F.lit(1)).unionByName(unpivoted(current, features).withColumn("__r", F.lit(0)))
     counts = rows.groupBy("feature", "value").agg(F.sum("__r").alias("r"), F.sum(1 - F.col("__r")).alias("c"))
-    span = F.broadcast(counts.groupBy("feature").agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"), F.sum("r").alias("nr"), F.sum("c").alias("nc")))
-    b = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets), F.lit(0))
-    placed = counts.join(span, "feature").withColumn("__b", b)
+    sizes = F.broadcast(counts.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc")))
+    placed = bucketed(counts, "value", buckets, ("feature",)).join(sizes, "feature")
     sums = placed.groupBy("feature", "__b").agg(F.sum("r").alias("__sr"), F.sum("c").alias("__sc"))
     before = Window.partitionBy("feature").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = F.broadcast(sums.select("feature", "__b", F.coalesce(F.sum("__sr").over(before), F.lit(0)).alias("__br"), F.coalesce(F.sum("__sc").over(before), F.lit(0)).alias("__bc")))
@@ -69,27 +71,48 @@ def ks(reference: DataFrame, current: DataFrame, features: list[str], buckets: i
 
 
 def ks_p_value(statistic: float, n: int, m: int, terms: int = 100) -> float:
-    """Asymptotic two-sided p-value (Kolmogorov's series)."""
+    """Two-sided p-value: exact up to EXACT_ROWS rows a side, Kolmogorov's series beyond."""
     if not n or not m:
         return 1.0
+    if max(n, m) <= EXACT_ROWS:
+        return ks_p_exact(statistic, n, m)
     x = statistic * math.sqrt(n * m / (n + m))
     if x < 0.2:
         return 1.0
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, terms + 1))))
 
 
-def ks_p(statistic: Column, n: Column, m: Column, terms: int = 20) -> Column:
-    """The same as an expression."""
-    x = statistic * F.sqrt(n * m / (n + m))
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * x * x))
-    return F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
+def ks_p_exact(statistic: float, n: int, m: int) -> float:
+    """Chance that two samples of one continuous distribution lie as far apart as `statistic`, or farther.
+
+    The pooled values in order are a random walk that takes a row of either sample with the chance that its
+    rows left give; the walk's shares that have always stayed nearer to the diagonal than the statistic are carried along.
+    """
+    import numpy as np
+
+    limit = round(statistic * n * m) - 0.5  # gaps are whole multiples of 1 / (n m)
+    share = np.zeros(n + 2)  # by rows taken of the first sample; the last place is never reached
+    share[0] = 1.0
+    for s in range(n + m):
+        low = max(0, s - m, math.ceil((s * n - limit) / (n + m)))
+        high = min(n, s, math.floor((s * n + limit) / (n + m)))
+        if low > high:
+            return 1.0
+        taken = np.arange(low, high + 1)
+        now = share[low : high + 1].copy()
+        share[max(0, low - 1) : high + 2] = 0.0
+        share[low + 1 : high + 2] += now * (n - taken) / (n + m - s)
+        share[low : high + 1] += now * (m - s + taken) / (n + m - s)
+    return min(1.0, max(0.0, 1.0 - float(share[n])))
 
 
 def report(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
-    """feature, psi, verdict, ks_statistic, ks_p, ks_drift, significant."""
-    joined = psi(reference, current, features, bins).join(ks(reference, current, features), "feature")
-    p = ks_p(F.col("statistic"), F.col("n_reference").cast("double"), F.col("n_current").cast("double"))
-    return joined.select("feature", "psi", verdict(F.col("psi")).alias("verdict"), F.col("statistic").alias("ks_statistic"), p.alias("ks_p"), (p < P_LEVEL).alias("ks_drift"), (F.col("psi") >= SIGNIFICANT).alias("significant"))
+    """feature, psi, verdict, ks_statistic, ks_p, ks_drift, significant. The statistics (one row a feature) come to the driver."""
+    found = ks(reference, current, features).collect()
+    rows = [(r["feature"], float(r["statistic"]), ks_p_value(float(r["statistic"]), int(r["n_reference"]), int(r["n_current"]))) for r in found]
+    table = F.broadcast(reference.sparkSession.createDataFrame(rows, "feature string, ks_statistic double, ks_p double"))
+    joined = psi(reference, current, features, bins).join(table, "feature")
+    return joined.select("feature", "psi", verdict(F.col("psi")).alias("verdict"), "ks_statistic", "ks_p", (F.col("ks_p") < P_LEVEL).alias("ks_drift"), (F.col("psi") >= SIGNIFICANT).alias("significant"))
 
 
 def recommend(found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ mean is a scan in blocks of positions, each fed by the block before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +30,12 @@ def valid(df: DataFrame) -> Column:
     return fine("amount") & fine("t")
 
 
+def _apart(df: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`build` over the valid events; the others come out beside them with null features, and never enter state."""
+    fine = valid(df)
+    return build(df.where(fine)).unionByName(df.where(~fine), allowMissingColumns=True)
+
+
 def with_position(df: DataFrame, name: str = "position", keys: tuple[str, ...] = (), block_seconds: float | None = None) -> DataFrame:
     """Rows before each one in order of (t, seq), within `keys` if there are any.
 
@@ -44,7 +51,7 @@ def with_position(df: DataFrame, name: str = "position", keys: tuple[str, ...] =
     return numbered.join(offsets, [*keys, "__block"]).withColumn(name, F.col("__offset") + F.col("__row")).drop("__block", "__row", "__offset")
 
 
-def ewma_global(df: DataFrame, name: str = "ewma_global", decay: float = DECAY, position: str | None = None) -> DataFrame:
+def _ewma_global(df: DataFrame, name: str = "ewma_global", decay: float = DECAY, position: str | None = None) -> DataFrame:
     """The exponentially weighted mean of all amounts before each event; the first event gets its own amount.
 
     s_0 = x_0, s_i = decay * s_(i-1) + (1 - decay) * x_i, and the feature is s_(i-1). Blocks are so long that
@@ -67,7 +74,7 @@ def ewma_global(df: DataFrame, name: str = "ewma_global", decay: float = DECAY,
     return rows.withColumn(name, value).drop(*drop)
 
 
-def count_window(df: DataFrame, name: str = "count_window", seconds: float = WINDOW_SECONDS) -> DataFrame:
+def _count_window(df: DataFrame, name: str = "count_window", seconds: float = WINDOW_SECONDS) -> DataFrame:
     """Events before each one whose time is later than t - seconds (the left edge is out).
 
     Each event stands in the bucket of its time and, as history, in the next; every bucket is counted by itself.
@@ -80,7 +87,7 @@ def count_window(df: DataFrame, name: str = "count_window", seconds: float = WIN
     return counted.where("__copy = 0").drop("__copy", "__bucket")
 
 
-def ewma_account(df: DataFrame, name: str = "ewma_account", decay: float = DECAY, position: str | None = None) -> DataFrame:
+def _ewma_account(df: DataFrame, name: str = "ewma_account", decay: float = DECAY, position: str | None = None) -> DataFrame:
     """As the global mean, for each account by itself: positions and blocks are per account, so a hot account is spread over many blocks."""
     own = position or "__p"
     length = max(2, int(100 / -log(decay)))
@@ -119,7 +126,7 @@ def category_prior(df: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("category", "n", (F.col("n") / F.col("__total")).alias("prior"))
 
 
-def footprint(df: DataFrame, prior: dict[str, float], name: str = "footprint", last: int = FOOTPRINT, least: int = FOOTPRINT_LEAST, position: str | None = None) -> DataFrame:
+def _footprint(df: DataFrame, prior: dict[str, float], name: str = "footprint", last: int = FOOTPRINT, least: int = FOOTPRINT_LEAST, position: str | None = None) -> DataFrame:
     """Share of an event's category among its account's last events; with fewer than `least`, the category's prior (0 if unknown)."""
     rows = over_last(df, "__h", F.collect_list("category"), last, position=position)
     known = F.lit(0.0)
@@ -130,7 +137,7 @@ def footprint(df: DataFrame, prior: dict[str, float], name: str = "footprint", l
     return rows.withColumn(name, F.when(F.size("__h") < least, known).otherwise(same / F.size("__h"))).drop("__h")
 
 
-def expanding_frequency(df: DataFrame, n_categories: int, name: str = "category_frequency", position: str | None = None) -> DataFrame:
+def _expanding_frequency(df: DataFrame, n_categories: int, name: str = "category_frequency", position: str | None = None) -> DataFrame:
     """(earlier events of the category + 1) / (earlier events + n_categories)."""
     own = position or "__position"
     rows = df if position else with_position(df, own)
@@ -138,19 +145,53 @@ def expanding_frequency(df: DataFrame, n_categories: int, name: str = "category_
     return rows.withColumn(name, (F.col("__same") + 1) / (F.col(own) + n_categories)).drop("__same", *([] if position else [own]))
 
 
+def ewma_global(df: DataFrame, name: str = "ewma_global", decay: float = DECAY) -> DataFrame:
+    """The exponentially weighted mean of all valid amounts before each event; null for events that aren't valid."""
+    return _apart(df, lambda rows: _ewma_global(rows, name, decay))
+
+
+def count_window(df: DataFrame, name: str = "count_window", seconds: float = WINDOW_SECONDS) -> DataFrame:
+    """Valid events before each one within `seconds` (the left edge is out); null for events that aren't valid."""
+    return _apart(df, lambda rows: _count_window(rows, name, seconds))
+
+
+def ewma_account(df: DataFrame, name: str = "ewma_account", decay: float = DECAY) -> DataFrame:
+    """The same mean within each account."""
+    return _apart(df, lambda rows: _ewma_account(rows, name, decay))
+
+
+def footprint(df: DataFrame, prior: dict[str, float], name: str = "footprint", last: int = FOOTPRINT, least: int = FOOTPRINT_LEAST) -> DataFrame:
+    """Share of an event's category among its account's last valid events; with fewer than `least`, the category's prior."""
+    return _apart(df, lambda rows: _footprint(rows, prior, name, last, least))
+
+
+def expanding_frequency(df: DataFrame, n_categories: int, name: str = "category_frequency", position: str | None = None) -> DataFrame:
+    """(earlier valid events of the category + 1) / (earlier valid events + n_categories).
+
+    `position`, if given, counts the valid events before each.
+    """
+    return _apart(df, lambda rows: _expanding_frequency(rows, n_categories, name, position))
+
+
 def hour_utc(name: str = "t") -> Column:
     """Hour of the day in UTC of seconds since the epoch."""
     return F.floor(F.pmod(F.floor(F.col(name)), F.lit(86_400)) / 3600).cast("int")
 
 
 def linear_features(df: DataFrame, seconds: float = WINDOW_SECONDS, decay: float = DECAY) -> DataFrame:
-    """The features of the linear policy: ewma_global and count_window."""
-    return count_window(ewma_global(df, decay=decay), seconds=seconds)
+    """The features of the linear policy, ewma_global and count_window, and `invalid`: null features, no part in state."""
+    return _apart(df, lambda rows: _count_window(_ewma_global(rows, decay=decay), seconds=seconds)).withColumn("invalid", F.col("count_window").isNull())
+
+
+def account_features(df: DataFrame, prior: dict[str, float], seconds: float = WINDOW_SECONDS, decay: float = DECAY, position: str | None = None) -> DataFrame:
+    """The six features of the table policy beside the amount: hour, count_window, ewma_account, footprint, category_frequency.
+
+    And `invalid`, as in linear_features. `position`, if given, counts the valid events before each.
+    """
 
+    def build(rows: DataFrame) -> DataFrame:
+        rows = _count_window(_expanding_frequency(rows, max(len(prior), 1), position=position), seconds=seconds)
+        rows = with_position(rows, "__own", ("account",))
+        return _footprint(_ewma_account(rows, decay=decay, position="__own"), prior, position="__own").drop("__own").withColumn("hour", hour_utc())
 
-def account_features(df: DataFrame, prior: dict[str, float], seconds: float = WINDOW_SECONDS, decay: float = DECAY) -> DataFrame:
-    """The six features of the table policy beside the amount: hour, count_window, ewma_account, footprint, category_frequency."""
-    rows = count_window(expanding_frequency(df, max(len(prior), 1)), seconds=seconds)
-    rows = with_position(rows, "__own", ("account",))
-    rows = footprint(ewma_account(rows, decay=decay, position="__own"), prior, position="__own")
-    return rows.drop("__own").withColumn("hour", hour_utc())
+    return _apart(df, build).withColumn("invalid", F.col("count_window").isNull())

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import safe_ratio
 from .quantiles import exact_quantiles
 
-BUCKETS = 4096
+#: Buckets of scores: between approximate quantiles of the distinct scores, so that crowded scores are spread as well.
+BUCKETS = 128
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -34,12 +35,22 @@ def score_table(df: DataFrame, score: str, label: str, amount: str | None = None
     return rows.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(yes).alias("pos"), F.count_if(~yes).alias("neg"), money.alias("pos_amount"))
 
 
+def bucketed(table: DataFrame, value: str, buckets: int, keys: tuple[str, ...] = (), name: str = "__b") -> DataFrame:
+    """A bucket that grows with the value: the number of (each key's) approximate quantiles that don't exceed it.
+
+    Any edges give right results; quantiles give buckets of like sizes, whatever the values' spread.
+    """
+    cuts = F.percentile_approx(value, F.array(*(F.lit(k / buckets) for k in range(1, buckets))), 20 * buckets)
+    edges = F.broadcast((table.groupBy(*keys) if keys else table).agg(F.array_distinct(cuts).alias("__edges")))  # one row a key
+    joined = table.join(edges, list(keys)) if keys else table.join(edges)
+    return joined.withColumn(name, F.coalesce(F.size(F.filter("__edges", lambda e: e <= F.col(value))), F.lit(0))).drop("__edges")
+
+
 def cumulative(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """For each distinct score (of each key): tp, fp and amount at scores >= it, and the totals p, n, total_amount."""
-    bucket = F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(0)), F.lit(BUCKETS))
-    rows = table.withColumn("__b", bucket)
+    rows = bucketed(table, "score", BUCKETS)
     names = (("pos", "tp"), ("neg", "fp"), ("pos_amount", "amount_at"))
-    sums = rows.groupBy(*keys, "__b").agg(*(F.sum(a).alias(f"__{a}") for a, _ in names))  # bounded by BUCKETS + 1 rows
+    sums = rows.groupBy(*keys, "__b").agg(*(F.sum(a).alias(f"__{a}") for a, _ in names))  # bounded by BUCKETS rows a key
     above = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
     sums = sums.select(*keys, "__b", *(F.coalesce(F.sum(f"__{a}").over(above), F.lit(0)).alias(f"__up_{a}") for a, _ in names), *(F.sum(f"__{a}").over(every).alias(t) for (a, _), t in zip(names, ("p", "n", "total_amount"), strict=True)))

@@ -8,15 +8,16 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import bin_index, isotonic
 from ..operators import decision_log, detectors, drift, metrics, splits, training
 from ..operators import features as feats
 from ..operators.decisions import classify_reason, decide, linear_score, with_table_score
 from ..operators.quantiles import exact_quantiles
-from ..schema import canonical, clean_label
-from ..session import scratch_dir
-from ..sources.events import EVENTS, ORDERS, read_stream
+from ..schema import EventMapping, canonical, clean_label
+from ..session import scratch_dir, staged
+from ..sources.events import EVENTS, ORDERS, from_values, read_csv, read_stream, transactions_schema
 from ..streaming import stateful
 from .policy import LinearPolicy, TablePolicy
 
@@ -57,8 +58,8 @@ def plain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prior(rows: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    placed = feats.with_position(rows)
-    first, _ = splits.split_bounds(rows.count())
+    placed = feats.with_position(rows.where(feats.valid(rows)))
+    first, _ = splits.split_bounds(placed.count())
     return placed, {r["category"]: r["prior"] for r in feats.category_prior(placed.where(F.col("position") < first)).collect()}
 
 
@@ -159,7 +160,7 @@ def feat_hour(spark, sf_dir):
 )
 def feat_all(spark, sf_dir):
     placed, prior = _prior(events(spark, sf_dir))
-    return feats.account_features(placed, prior, SECONDS).select("seq", "amount", "hour", "count_window", _round("ewma_account"), _round("footprint"), _round("category_frequency"))
+    return feats.account_features(placed, prior, SECONDS, position="position").select("seq", "amount", "hour", "count_window", _round("ewma_account"), _round("footprint"), _round("category_frequency"))
 
 
 @register(f"WITH {POS} SELECT CASE WHEN position < CAST(floor(n * 0.6) AS BIGINT) THEN 'train' WHEN position < CAST(floor(n * 0.8) AS BIGINT) THEN 'val' ELSE 'test' END AS split, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(label) AS BIGINT) AS positives FROM pos, n GROUP BY 1")
@@ -309,9 +310,14 @@ def ks_stat(spark, sf_dir):
     return drift.ks(*_halves(spark, sf_dir), ["amount", "hour"]).select("feature", _round("statistic", 9))
 
 
-@register(f"WITH {HALVES}, {PSI_ROWS}, {KS_ROWS} SELECT feature, round(psi, 6) AS psi, {VERDICT} AS verdict, round(statistic, 9) AS ks_statistic, psi >= 0.25 AS significant FROM p JOIN k USING (feature)")
+#: Kolmogorov's series; the operator counts paths at these sizes, which agrees on the verdict.
+KS_DRIFT = "CASE WHEN statistic * z.s < 0.2 THEN false ELSE 2 * list_sum(list_transform(range(1, 21), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * i * i * (statistic * z.s) ** 2))) < 0.05 END"
+_SIZES = "z AS (SELECT sqrt((SELECT count(*) FROM ref) * (SELECT count(*) FROM cur) / ((SELECT count(*) FROM ref) + (SELECT count(*) FROM cur))::DOUBLE) AS s)"
+
+
+@register(f"WITH {HALVES}, {PSI_ROWS}, {KS_ROWS}, {_SIZES} SELECT feature, round(psi, 6) AS psi, {VERDICT} AS verdict, round(statistic, 9) AS ks_statistic, {KS_DRIFT} AS ks_drift, psi >= 0.25 AS significant FROM p JOIN k USING (feature), z")
 def drift_report(spark, sf_dir):
-    return drift.report(*_halves(spark, sf_dir), ["amount", "hour"]).select("feature", _round("psi"), "verdict", _round("ks_statistic", 9), "significant")
+    return drift.report(*_halves(spark, sf_dir), ["amount", "hour"]).select("feature", _round("psi"), "verdict", _round("ks_statistic", 9), "ks_drift", "significant")
 
 
 @register(f"WITH {HALVES}, {PSI_ROWS}, w AS (SELECT * FROM (VALUES ('amount', 0.75), ('hour', 0.25)) AS v(feature, weight)) SELECT round(coalesce(sum(CASE WHEN psi >= 0.25 THEN weight END), 0)::DOUBLE, 6) AS share FROM p JOIN w USING (feature)")
@@ -446,9 +452,13 @@ def policy_in_force(spark, sf_dir):
     marked = feats.with_position(e.withColumn("__v", F.when(F.col("seq") % 1000 == 0, 1 + F.floor(F.col("seq") / 1000))))
     w = Window.partitionBy("__b").orderBy("position")
     rows = marked.withColumn("__b", F.floor(F.col("position") / 4096)).withColumn("__here", F.max("__v").over(w))
-    tops = rows.groupBy("__b").agg(F.max("__v").alias("__top"))
-    past = tops.select("__b", F.max("__top").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__past"))
-    return rows.join(F.broadcast(past), "__b").select("seq", F.coalesce(F.greatest("__here", "__past"), F.lit(0)).alias("policy_version"))
+    # Blocks of blocks: only the outer table, a row for 16.8 million events, is ordered as a whole.
+    tops = rows.groupBy("__b").agg(F.max("__v").alias("__top")).withColumn("__o", F.floor(F.col("__b") / 4096))
+    outer = tops.groupBy("__o").agg(F.max("__top").alias("__top"))
+    before = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    outer = outer.select("__o", F.max("__top").over(before(Window.orderBy("__o"))).alias("__far"))
+    past = tops.withColumn("__near", F.max("__top").over(before(Window.partitionBy("__o").orderBy("__b")))).join(outer, "__o").select("__b", "__near", "__far")
+    return rows.join(past, "__b").select("seq", F.coalesce(F.greatest("__here", "__near", "__far"), F.lit(0)).alias("policy_version"))
 
 
 @register(f"WITH RECURSIVE {POS}, {PRIOR}, {APOS}, {AEWMA}, h AS (SELECT *, {FOOT} AS h FROM pos) SELECT h.seq, round(ra.f, 6) AS ewma_account, round(CASE WHEN len(coalesce(h.h, [])) < 5 THEN coalesce(prior, 0) ELSE len(list_filter(h.h, lambda c: c = category)) / len(h.h)::DOUBLE END, 6) AS footprint FROM h JOIN ra ON ra.seq = h.seq LEFT JOIN prior USING (category)")
@@ -484,7 +494,7 @@ def psi_by_year(spark, sf_dir):
 
 @register()
 def train_linear_scores(spark, sf_dir):
-    rows = feats.linear_features(feats.with_position(events(spark, sf_dir)), SECONDS).cache()
+    rows = staged(feats.linear_features(feats.with_position(events(spark, sf_dir)), SECONDS).select("seq", "label", "position", *LINEAR.features), "train-rows")
     train, val, test = splits.parts(splits.temporal_split(rows, rows.count()))
     policy = training.calibrate_linear(train, val, list(LINEAR.features))
     return test.select("seq", "label", linear_score(policy).alias("score"))
@@ -498,15 +508,121 @@ def train_boosted_scores(spark, sf_dir):
 
 @register()
 def walk_forward_validation(spark, sf_dir):
-    rows = feats.linear_features(feats.with_position(events(spark, sf_dir)), SECONDS).cache()
+    rows = staged(feats.linear_features(feats.with_position(events(spark, sf_dir)), SECONDS).select("label", "position", *LINEAR.features), "fold-rows")
     folds, _ = training.walk_forward_validation(rows, list(LINEAR.features))
     return spark.createDataFrame([(f["fold"], f["ok"], f["auc"], f["threshold"], f["error"]) for f in folds], "fold int, ok boolean, auc double, threshold double, error string")
 
 
-@register()
+@register(
+    f"WITH RECURSIVE {EV}, s AS (SELECT ({PLAIN_SCORE}) * 0.8 + 0.05::DOUBLE AS score FROM ev), k AS (SELECT 0 AS i, 0.05::DOUBLE AS now, NULL::DOUBLE AS last UNION ALL SELECT i + 1, (SELECT avg(score * (now / 0.05::DOUBLE) / (score * (now / 0.05::DOUBLE) + (1 - score) * ((1 - now) / (1 - 0.05::DOUBLE)))) FROM s), now FROM k WHERE i < 50 AND (last IS NULL OR abs(now - last) >= 1e-9)) SELECT round(now, 8) AS prior FROM k ORDER BY i DESC LIMIT 1"
+)
 def prior_shift(spark, sf_dir):
-    s = plain_scores(spark, sf_dir).select((F.col("score") * 0.8 + 0.05).alias("score")).cache()
-    return spark.createDataFrame([(detectors.prior_shift(s, "score", 0.05),)], "prior double")
+    s = staged(plain_scores(spark, sf_dir).select((F.col("score") * 0.8 + 0.05).alias("score")), "shift-scores")
+    return spark.createDataFrame([(detectors.prior_shift(s, "score", 0.05),)], "prior double").select(_round("prior", 8))
+
+
+#: Events some of whose amounts are missing or no number: features leave them out and flag them.
+_BAD_EVENT = "(event_id % 11 = 0 OR event_id % 7 = 0)"
+EVV = f"{EV[:-1]} WHERE NOT {_BAD_EVENT})"
+
+
+def _with_bad(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.withColumn("amount", F.when(F.col("seq") % 11 == 0, F.lit(None)).when(F.col("seq") % 14 == 0, float("inf")).when(F.col("seq") % 7 == 0, float("nan")).otherwise(F.col("amount")))
+
+
+@register(
+    f"WITH RECURSIVE {EVV}, pos AS (SELECT *, row_number() OVER (ORDER BY t, seq) - 1 AS position FROM ev), {APOS}, {AEWMA}, h AS (SELECT *, {FOOT} AS h, {CNT} AS count_window FROM pos) SELECT h.seq, false AS invalid, count_window, round(ra.f, 6) AS ewma_account, round(CASE WHEN len(coalesce(h.h, [])) < 5 THEN 0 ELSE len(list_filter(h.h, lambda c: c = category)) / len(h.h)::DOUBLE END, 6) AS footprint, round(row_number() OVER (PARTITION BY category ORDER BY t, h.seq) / (position + 1)::DOUBLE, 6) AS category_frequency FROM h JOIN ra ON ra.seq = h.seq UNION ALL SELECT event_id, true, -1, -1, -1, -1 FROM events WHERE {_BAD_EVENT}"
+)
+def feat_invalid_events(spark, sf_dir):
+    rows = feats.account_features(_with_bad(spark, sf_dir), {}, SECONDS)
+    return rows.select("seq", "invalid", "count_window", _round("ewma_account"), _round("footprint"), _round("category_frequency")).fillna(-1)
+
+
+@register(f"WITH RECURSIVE {EVV}, pos AS (SELECT *, row_number() OVER (ORDER BY t, seq) - 1 AS position FROM ev), {EWMA}, {LIN}, {DECIDED} SELECT seq, round(score, 6) AS score, decision_type, suspicious FROM d UNION ALL SELECT event_id, -1, CASE WHEN event_id % 11 = 0 THEN 'executor_error' ELSE 'score_invalid' END, true FROM events WHERE {_BAD_EVENT}")
+def decide_invalid_events(spark, sf_dir):
+    """Bad events escalate, and leave the decisions on the others as they were."""
+    rows = decide(feats.linear_features(_with_bad(spark, sf_dir), SECONDS), linear_score(LINEAR), LINEAR.threshold, LIMIT)
+    return rows.select("seq", _round("score"), "decision_type", "suspicious").fillna(-1, "score")
+
+
+@register(f"WITH RECURSIVE {EVV}, pos AS (SELECT *, row_number() OVER (ORDER BY t, seq) - 1 AS position FROM ev), {EWMA}, q AS (SELECT r.seq, r.f, {CNT.replace('t, seq', 'pos.t, pos.seq').replace('ORDER BY t RANGE', 'ORDER BY pos.t RANGE')} AS count_window, row_number() OVER (PARTITION BY category ORDER BY pos.t, pos.seq) / (pos.position + 1)::DOUBLE AS share FROM pos JOIN r USING (seq)) SELECT seq, false AS invalid, round(f, 6) AS ewma_global, count_window, round(share, 6) AS category_frequency FROM q UNION ALL SELECT event_id, true, -1, -1, -1 FROM events WHERE {_BAD_EVENT}")
+def stream_global_parity(spark, sf_dir):
+    """The stream's global features over events of which some are bad, run to its end, against the same SQL."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = read_stream(spark, sf_dir, schema, EVENTS, pathGlobFilter="events.parquet")
+    bad = F.when(F.col("seq") % 11 == 0, F.lit(None)).when(F.col("seq") % 7 == 0, float("nan")).otherwise(F.col("amount"))
+    out = f"{scratch_dir(spark)}/stream-global-{uuid.uuid4().hex}"
+    features = stateful.global_features(stream.withColumn("amount", bad), 1, SECONDS)
+    features.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("seq", "invalid", _round("ewma_global"), "count_window", _round("category_frequency")).fillna(-1)
+
+
+#: A fixed policy over all six features.
+FULL = TablePolicy(training.TABLE_FEATURES, {"amount": [50.0, 150.0], "hour": [12.0], "count_window": [3.0], "ewma_account": [60.0], "footprint": [0.25], "category_frequency": [0.2]}, (3, 2, 2, 2, 2, 2), tuple((k * 37 % 97) / 97 for k in range(96)), (0.1, 0.4, 0.9), (0.0, 0.5, 1.0), 0.5, {"x": 1.0}).validated()
+SIX = f"{POS}, {PRIOR}, {APOS}, {AEWMA}, h AS (SELECT *, {FOOT} AS h, {CNT} AS count_window FROM pos), six AS (SELECT h.seq, h.amount, {HOUR} AS hour, count_window, ra.f AS ewma_account, CASE WHEN len(coalesce(h.h, [])) < 5 THEN coalesce(prior, 0) ELSE len(list_filter(h.h, lambda c: c = category)) / len(h.h)::DOUBLE END AS footprint, row_number() OVER (PARTITION BY category ORDER BY t, h.seq) / (position + (SELECT count(*) FROM prior))::DOUBLE AS category_frequency FROM h JOIN ra ON ra.seq = h.seq LEFT JOIN prior USING (category))"
+
+
+@register(
+    f"WITH RECURSIVE {SIX}, cell AS (SELECT seq, amount, ((((CASE WHEN amount > 150 THEN 2 WHEN amount > 50 THEN 1 ELSE 0 END * 2 + (hour > 12)::INT) * 2 + (count_window > 3)::INT) * 2 + (ewma_account > 60)::INT) * 2 + (footprint > 0.25)::INT) * 2 + (category_frequency > 0.2)::INT AS k FROM six), x AS (SELECT seq, amount, (k * 37 % 97) / 97::DOUBLE AS x FROM cell), s AS (SELECT seq, amount, {ISO} AS score FROM x) SELECT seq, round(score, 6) AS score, CASE WHEN abs(amount) > 200 THEN 'amount_limit' ELSE 'model' END AS decision_type, abs(amount) > 200 OR score >= 0.5 AS suspicious FROM s"
+)
+def decide_table_full(spark, sf_dir):
+    """The table policy's whole path: six features, lookup, calibration, veto."""
+    placed, prior = _prior(events(spark, sf_dir))
+    rows = with_table_score(feats.account_features(placed, prior, SECONDS, position="position"), FULL, "s")
+    return decide(rows, F.col("s"), FULL.threshold, LIMIT).select("seq", _round("score"), "decision_type", "suspicious")
+
+
+@register(f"WITH {POS} SELECT seq, CASE WHEN position >= 300 THEN 'batch' ELSE 'reference' END AS part FROM pos WHERE position >= 100 AND position < 500")
+def batch_slices(spark, sf_dir):
+    rows = feats.with_position(events(spark, sf_dir))
+    named = [f(rows, 300, 200).select("seq", F.lit(name).alias("part")) for f, name in ((splits.batch_slice, "batch"), (splits.reference_slice, "reference"))]
+    return named[0].unionAll(named[1])
+
+
+@register(f"WITH RECURSIVE {POS}, {EWMA}, {LIN}, {DECIDED} SELECT seq AS row_index, round(score, 6) AS score, decision_type, suspicious, round(amount, 6) AS amount, CAST(3 AS BIGINT) AS policy_version FROM d")
+def log_round_trip(spark, sf_dir):
+    """Decisions appended to the log in two parts and read back."""
+    path = f"{scratch_dir(spark)}/log-{uuid.uuid4().hex}"
+    made = decision_log.entries(_linear(spark, sf_dir), 3)
+    for part in (0, 1):
+        decision_log.append(made.where(F.col("row_index") % 2 == part), path)
+    log = decision_log.since(decision_log.read(spark, path), "2000-01-01T00:00:00Z")
+    return log.select("row_index", _round("score"), "decision_type", "suspicious", F.round("event.amount", 6).alias("amount"), "policy_version")
+
+
+@register("SELECT event_id AS seq, epoch_us(ts) / 1e6 AS t, user_id AS account, event_type AS category, value AS amount, CAST(event_id % 2 AS INTEGER) AS label FROM events")
+def csv_events(spark, sf_dir):
+    """Events written as CSV with quoted labels and read with a declared schema."""
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    e = events(spark, sf_dir).withColumn("label", F.concat(F.lit("'"), (F.col("seq") % 2).cast("string"), F.lit("'")))
+    e.write.csv(path, header=True)
+    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("t", T.DoubleType()), T.StructField("account", T.LongType()), T.StructField("category", T.StringType()), T.StructField("amount", T.DoubleType()), T.StructField("label", T.StringType())])
+    return read_csv(spark, path, EventMapping("seq", "t", "account", "category", "amount", "label"), schema)
+
+
+@register("SELECT CAST(l_orderkey * 10 + l_linenumber AS DOUBLE) AS t, l_extendedprice AS amount, CAST(l_linenumber % 2 AS INTEGER) AS label FROM lineitem")
+def csv_transactions(spark, sf_dir):
+    """A wide card table (time, components, amount, quoted class) written as CSV and read with its declared schema."""
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    wide = rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("double").alias("Time"), *((F.col("l_quantity") / k).cast("double").alias(f"V{k}") for k in range(1, 29)), F.col("l_extendedprice").cast("double").alias("Amount"), F.concat(F.lit("'"), (F.col("l_linenumber") % 2).cast("string"), F.lit("'")).alias("Class"))
+    wide.write.csv(path, header=True)
+    return read_csv(spark, path, EventMapping("Time", "Time", amount="Amount", label="Class"), transactions_schema()).select("t", "amount", "label")
+
+
+@register("SELECT event_id AS seq, epoch_us(ts) / 1e6 AS t, user_id AS account, event_type AS category, value AS amount FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT -1, -1, -1, 'none', -1 FROM events WHERE event_id % 10 = 0")
+def message_events(spark, sf_dir):
+    """Events out of JSON messages, a tenth of which are broken."""
+    e = events(spark, sf_dir).drop("label")
+    messages = e.select(F.when(F.col("seq") % 10 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("*"))).cast("binary").alias("value"))
+    return from_values(messages, e.schema, EventMapping("seq", "t", "account", "category", "amount")).drop("label").fillna(-1).fillna("none")
+
+
+@register(f"WITH {EV}, {_X}, {_FIRST} SELECT seq, round((vh * (amount - ma) ** 2 - 2 * c * (amount - ma) * (h - mh) + va * (h - mh) ** 2) / (va * vh - c * c), 5) AS d2 FROM x, m")
+def mahalanobis_many(spark, sf_dir):
+    e, first = _with_hour(spark, sf_dir)
+    return detectors.mahalanobis_many(e, first, ["amount", "h"]).select("seq", _round("d2", 5))
 
 
 def queries() -> dict[str, Query]:

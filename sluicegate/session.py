@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC for calendar functions; adaptive plans with skew handling; Python workers fed in small batches; state that outgrows memory.
 SETTINGS = {
@@ -46,6 +47,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Rows that several jobs read: written as Parquet into the scratch folder and read back, so no executor's memory holds them."""
+    path = f"{scratch_dir(df.sparkSession)}/sluicegate-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package once a context, so that workers import it (and keep module caches) anywhere."""
     context = spark.sparkContext

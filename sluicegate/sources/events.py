@@ -38,13 +38,23 @@ def with_source_position(df: DataFrame, name: str = "seq") -> DataFrame:
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, mapping: EventMapping, fmt: str = "parquet", files_per_batch: int | None = None, **options) -> DataFrame:
-    """A file stream as canonical events. Kafka and other sources give the same frame once their value is parsed."""
+    """A file stream as canonical events."""
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return canonical(reader.load(path), mapping)
 
 
+def from_values(messages: DataFrame, schema: T.StructType, mapping: EventMapping, value: str = "value") -> DataFrame:
+    """Canonical events of a message source (Kafka's `value`, text or bytes), batch or stream: one JSON object a message.
+
+    A message that is no such object becomes an event of nulls, which the features and the veto flag.
+    """
+    from pyspark.sql import functions as F
+
+    return canonical(messages.select(F.from_json(F.col(value).cast("string"), schema).alias("__m")).select("__m.*"), mapping)
+
+
 def synthetic(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """Seeded events for demonstrations: 8 % frauds of 1500 to 5000, else lognormal amounts, gaps of 1 to 4 seconds.
 

@@ -119,3 +119,20 @@ def test_history_across_blocks(spark, monkeypatch):
         h = past[r[2]][-3:]
         assert value == pytest.approx({"x": 0.2}.get(r[3], 0.0) if len(h) < 2 else h.count(r[3]) / len(h))
         past[r[2]].append(r[3])
+
+
+def test_invalid_events_never_enter_state(spark):
+    nan = float("nan")
+    rows = [(0, 0.0, 1, "a", 10.0), (1, 1.0, 1, "a", nan), (2, 2.0, 1, "a", 10.0), (3, 3.0, 1, "b", None), (4, nan, 1, "a", 5.0), (5, 4.0, 1, "a", 20.0), (6, 5.0, 1, "a", 20.0)]
+    got = f.account_features(frame(spark, rows), {"a": 0.5}, decay=0.5).orderBy("seq").collect()
+    assert [r["invalid"] for r in got] == [False, True, False, True, True, False, False]
+    assert [r["ewma_account"] for r in got] == [10.0, None, 10.0, None, None, 10.0, 15.0]
+    assert [r["count_window"] for r in got] == [0, None, 1, None, None, 2, 3]
+    state, want = AccountState({"a": 0.5}, 0.5), []
+    for _, t, _, c, x in rows:
+        if x is not None and math.isfinite(x) and math.isfinite(t):
+            want.append(state.read(x, c))
+            state.update(x, c, t)
+    assert [(r["ewma_account"], r["footprint"]) for r in got if not r["invalid"]] == want
+    for one in (f.ewma_account, f.ewma_global, f.count_window):
+        assert one(frame(spark, rows)).count() == len(rows)

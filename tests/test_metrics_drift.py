@@ -1,8 +1,10 @@
 """Metrics, thresholds and drift: hand-worked cases and statistical controls."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sluicegate.operators import drift, metrics, splits
 from sluicegate.operators.quantiles import exact_quantiles
@@ -87,10 +89,18 @@ def test_weighted(spark):
     assert drift.weighted(found, {"a": 0.0}).first()["weight"] is None
 
 
-def test_ks_p_expression_follows_the_series(spark):
-    for d, n, m in ((0.05, 800, 900), (0.2, 100, 100), (0.01, 50, 60)):
-        got = spark.range(1).select(drift.ks_p(F.lit(d), F.lit(float(n)), F.lit(float(m))).alias("p")).first()["p"]
-        assert got == pytest.approx(drift.ks_p_value(d, n, m), abs=1e-9)
+def test_ks_p_counts_orders():
+    """Against all orders of two small samples, and near the series for large ones."""
+    for n, m in ((3, 3), (4, 6), (5, 2)):
+        gaps = []
+        for own in itertools.combinations(range(n + m), n):
+            walk = np.cumsum([1 / n if k in own else -1 / m for k in range(n + m)])
+            gaps.append(np.abs(walk).max())
+        for d in {round(g, 9) for g in gaps}:
+            assert drift.ks_p_value(d, n, m) == pytest.approx(np.mean([g >= d - 1e-6 for g in gaps]))
+    series = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * 0.03**2 * 2500) for k in range(1, 100))
+    assert drift.ks_p_value(0.03, 5000, 5000) == pytest.approx(series, abs=0.005)
+    assert drift.ks_p_value(0.99, 5000, 5000) < 1e-9 < 0.01 < drift.ks_p_value(0.025, 5000, 5000)
 
 
 def test_splits_and_folds():
@@ -109,3 +119,15 @@ def test_exact_quantiles(spark, small):
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
     for r in exact_quantiles(rows, probabilities, small).collect():
         assert r["quantiles"] == pytest.approx(np.quantile(data[r["feature"]], probabilities).tolist(), abs=1e-12)
+
+
+def test_crowded_scores_are_spread(spark):
+    """Nearly all scores near 0 and one far away: buckets of like sizes, exact sums."""
+    rng = np.random.default_rng(4)
+    y, s = rng.integers(0, 2, 4000), np.r_[rng.random(3999) * 1e-6, 1.0]
+    table = metrics.score_table(scored(spark, y, s), "score", "label")
+    sizes = [r["count"] for r in metrics.bucketed(table, "score", 32).groupBy("__b").count().collect()]
+    assert max(sizes) < 4 * 4000 / 32
+    got = {r["score"]: (r["tp"], r["fp"]) for r in metrics.cumulative(table).collect()}
+    for v in (s[0], s[77], 1.0):
+        assert got[v] == ((y[s >= v] == 1).sum(), (y[s >= v] == 0).sum())
