@@ -93,6 +93,29 @@ def test_bpe_query_columns(spark):
     assert empty.n_tokens == 0 and empty.decoded == "" and empty.ids_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_very_long_texts(spark):
+    """One text of a megabyte among short ones: tokens, languages, sets, repeats and matches of the whole of it."""
+    rng = np.random.default_rng(11)
+    long = " ".join(words(rng, 160_000, 50_000))
+    tail = " ".join(f"t{k}" for k in range(60))
+    docs = documents(spark, [long + " " + tail, "short " + tail, long + " " + tail])
+    for file, run in ((WORD, lambda: bpe.encode(docs, WORD)), (BYTE, lambda: token_count.count_tokens(docs, BYTE))):
+        library = Tokenizer.from_file(file)
+        for r in run().collect():
+            assert r.n_tokens == len(library.encode("short " + tail if r.doc_id == 1 else long + " " + tail, add_special_tokens=False).ids)
+    assert {r.doc_id: r.component_id for r in ngram_join.join_groups(docs).collect()} == {0: 0, 1: 1, 2: 0}
+    found = {r.doc_id: (r.copy_of, r.n_later) for r in suffix_dedup.repeats(docs).collect()}
+    assert found == {0: (None, 0), 1: (None, 60), 2: (0, 160_060)}
+    bench = spark.createDataFrame([(1, " ".join(f"T{k}" for k in range(20, 40)))], "item_id int, text string")
+    assert {r.doc_id for r in decontaminate.matches(docs, bench).collect()} == {0, 1, 2}
+    assert {r.doc_id for r in topk_search.search(docs, F.col("doc_id") == 1, k=3).collect()} == {0, 1, 2}
+
+
+def test_carried_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b", "old", 3)], "doc_id long, text string, ids_sha256 string, n_tokens long")
+    assert bpe.encode(docs, WORD, carry=("n_tokens", "text", "ids_sha256")).columns == ["doc_id", "text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
 def test_token_count_query(spark):
     got = {r.doc_id: r for r in token_count.count_tokens(odd_docs(spark), BYTE, limit=50).collect()}
     assert got[0].n_tokens == 0 and got[0].n_bytes == 0 and got[7].n_bytes == 2 and got[8].n_tokens == 2
@@ -208,6 +231,41 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_matches_brute_force(spark):
+    """Naive Bayes written out over a dictionary of the same buckets, on held-out rows; accuracy on 0.01 of scale."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", langid.held_out().alias("held")).collect()
+    counts, rows = defaultdict(Counter), Counter()
+    for r in docs:
+        if not r.held and r.lang is not None and r.text is not None:
+            rows[r.lang] += 1
+            counts[r.lang].update(langid.ngram_buckets([r.text])[0].tolist())
+    size = {k: sum(c.values()) + 0.5 * langid.BUCKETS for k, c in counts.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in queries.op3_language_id(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs:
+        grams = langid.ngram_buckets([r.text or ""])[0].tolist()
+        if not grams:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        total = {k: np.log(rows[k] / sum(rows.values())) + sum(np.log((counts[k][g] + 0.5) / size[k]) for g in grams) for k in counts}
+        best = max(sorted(total), key=total.get)
+        assert got[r.doc_id][0] == best
+        assert got[r.doc_id][1] == pytest.approx(1 / sum(np.exp(v - total[best]) for v in total.values()), abs=1e-6)
+
+
+def test_language_blocks_and_clashing_names(spark, monkeypatch):
+    """Languages beyond one block of the matrix give the same result; a carried column gives way to a result's name."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 20)}{w}" for w in words(rng, 12)), f"l{k % 500:03d}", "x") for k in range(1000)]
+    docs = spark.createDataFrame([*rows, (9000, "12 34", "l001", "x"), (9001, None, None, "x")], "doc_id long, text string, lang string, score string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 500
+    got = langid.predict(docs, model, carry=("doc_id", "score", "text"))
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 1000)
+    one = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, model, carry=("doc_id", "score", "text")).collect()}
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in got.collect()} == one and one[9000] == one[9001] == ("und", 0.0)
+
+
 def test_language_never_learns_from_held_out(spark):
     docs = spark.createDataFrame([(k, "aaa bbb" if k % 2 else "ccc ddd", "x" if k % 2 else "y") for k in range(60)], "doc_id long, text string, lang string")
     held = {r.doc_id for r in docs.where(langid.held_out()).collect()}
@@ -304,6 +362,13 @@ def test_matches_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+def test_short_items_follow_the_same_rule(spark):
+    texts = ["before quick brown foxas after", "the quick brown foxes", "a quickbrown fox", "xa b", "so a b c", "a b"]
+    bench = spark.createDataFrame([(1, "quick brown foxes"), (2, "a b"), (3, "quick brown foxes")], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.item_length) for r in decontaminate.matches(documents(spark, texts), bench).collect()}
+    assert got == {(0, 1): (1, 17), (0, 3): (1, 17), (1, 1): (0, 17), (1, 3): (0, 17), (4, 2): (0, 3), (5, 2): (0, 3)}
+
+
 def test_decontamination_odd_rows(spark):
     docs = odd_docs(spark)
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "x y"), (4, "the same words again " * 3)], "item_id int, text string")
@@ -384,6 +449,25 @@ def test_resampling_prefers_the_target(spark):
     assert set(top.doc_id) == set(got[got.selected].doc_id)
 
 
+def test_resampling_matches_numpy(spark):
+    """Weights and selection against plain counts of words and word pairs, which a few words never bring into one bucket."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 12, int(rng.integers(1, 40)))) for _ in range(120)]
+    target = set(range(0, 40, 2))
+    docs = documents(spark, texts)
+    grams = [[(x,) for x in t.split()] + list(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    raw, good = Counter(g for x in grams for g in x), Counter(g for k in target for g in grams[k])
+    n_raw, n_good = (sum(c.values()) + quality.BUCKETS for c in (raw, good))
+    want = [sum(np.log((good[g] + 1) / n_good) - np.log((raw[g] + 1) / n_raw) for g in x) for x in grams]
+    got = quality.resample(docs, docs.where(F.col("doc_id").isin(list(target))), 0.3).toPandas().set_index("doc_id").sort_index()
+    buckets = {b for t in texts for _, _, bucket, _ in quality._features([t]) for b in bucket.tolist()}
+    assert len(buckets) == len(raw)
+    assert np.allclose(got.log_weight, want) and (got.n_features == [len(x) for x in grams]).all()
+    u = docs.select("doc_id", ((F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).toPandas().set_index("doc_id").sort_index().u
+    keys = np.array(want) - np.log(-np.log(u))
+    assert np.allclose(got.sample_key, keys) and set(np.flatnonzero(got.selected)) == set(np.argsort(-keys)[:36])
+
+
 def test_kth_largest(spark):
     x = np.random.default_rng(0).normal(size=3000).round(2)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
@@ -415,6 +499,21 @@ def test_rules(spark):
     assert got[6] == got[7] == ("", "", None, "allow") and got[8] == ("com", "", None, "allow") and got[9] == ("b:", "//c.com/en/2", None, "allow")
 
 
+def test_many_rules(spark, monkeypatch):
+    """A long list is joined by host suffix, with the result of the expression."""
+    r = random.Random(2)
+    part = lambda: r.choice(["a", "b", "c", "www", "x"])
+    rules = list({(r.choice(["allow", "block"]), ".".join(part() for _ in range(r.randrange(1, 4))) + "/" + r.choice(["", "en/", "en/7", "d"])) for _ in range(300)})
+    rules += [("block", f"h{k}.com/p") for k in range(5000)]
+    urls = ["http://" + ".".join(part() for _ in range(r.randrange(1, 5))) + r.choice(["", "/en/71", "/dx", "/"]) for _ in range(300)] + [None, "no", "s://t.h4321.com/p/q", "s://h4321.com/q"]
+    pages = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], PAGES)
+    got = {x.page_id: x for x in url_filter.judge(pages, rules).collect()}
+    assert got[302].rule == "h4321.com/p" and got[303].rule is None and len(got) == 304
+    few = [x for x in rules if not x[1].startswith("h")]
+    want = {x.page_id: x for x in url_filter.judge(pages, few).collect()}
+    assert len(few) <= url_filter.LITERAL_RULES and all(got[k] == want[k] for k in got if k != 302)
+
+
 def test_propagation_matches_numpy(spark):
     r = random.Random(8)
     hosts = [f"h{k}.example.{'com' if k % 2 else 'net'}" for k in range(25)]
@@ -498,6 +597,57 @@ def test_articles_of_the_table(spark):
         assert r.text == plain(pages[r.page_id]) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>x</p><table><tr><td>cell</td></tr></table><p>long prose, with marks.</p></article>", "x\ncell\nlong prose, with marks."),
+        ("<body><form action=x><div><h1>T</h1><p>Prose, with marks.</p></div><input></form></body>", "T\nProse, with marks."),
+        ("<body><form><p>Only prose.</p></form></body>", "Only prose."),
+        ("<article><p class='legal'>Legal prose.</p><div class=legal>gone</div><p class=ad>ad</p></article>", "Legal prose."),
+        ("<article><header><h1>Own header</h1></header><p>Text.</p></article>", "Text."),
+        ("<body><div class=top><a>x</a><a>y</a></div><h1>Title</h1><div class=c><p>Long text, of some length. And more, with marks; yes. Longer still.</p><p>s</p></div><div class=z>Tail</div></body>", "Title\nLong text, of some length. And more, with marks; yes. Longer still.\ns"),
+    ],
+)
+def test_ratios_choose_the_content(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_paths_match_plain_sums():
+    """The content element against sums written out path by path, on random trees of containers."""
+    r = random.Random(6)
+    for _ in range(200):
+        page, at, held = [], [], Counter()
+        for _ in range(r.randrange(1, 30)):
+            if at and r.random() < 0.4:
+                page.append(f"</{at.pop()}>")
+            elif r.random() < 0.5:
+                at.append(f"d{len(at)}x{r.randrange(2)}")
+                page.append(f"<div class={at[-1]}>")
+                at[-1] = "div"
+            else:
+                page.append("w" * r.randrange(1, 40))
+        text = "".join(page)
+        read = html_extract.Page(text)
+        for p, _, _, t in read.nodes:
+            while True:
+                held[p] += len(t)
+                if p == 0:
+                    break
+                p = read.parent[p]
+        chosen = html_extract.content_paths(read, read.nodes)
+        if held:
+            deepest = max(p for p in held if held[p] >= 0.75 * held[0])
+            below = lambda p: p == deepest or (p and below(read.parent[p]))  # noqa: B023, E731
+            assert all(p in chosen for p, _, _, _ in read.nodes if below(p))
+
+
+def test_deep_and_long_pages():
+    page = "<b>x " * 30_000 + "</i>" * 30_000
+    read = html_extract.Page(page)
+    assert len(read.parent) == 30_001 and html_extract.main_text(page) == " ".join(["x"] * 30_000)
+    assert html_extract.main_text("<p>" + "word " * 200_000) == " ".join(["word"] * 200_000)
+
+
 def test_blanks_between_inline_elements():
     assert html_extract.main_text("<article><p><b>One</b> <i>two</i></p></article>") == "One two"
     assert html_extract.main_text("<article><p><b>One</b><br><i>two</i></p> <p><b>three</b></p></article>") == "One two\nthree"

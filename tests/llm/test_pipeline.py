@@ -52,3 +52,9 @@ def test_stages_take_odd_and_empty_tables(spark):
     for docs in (odd_docs(spark), odd_docs(spark).where("false")):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, FOLDER).count()
+
+
+def test_language_stage_takes_clashing_names(spark):
+    docs = odd_docs(spark).selectExpr("*", "'x' AS score", "1 AS lang_pred")
+    kept = corpus_pipeline.identify_language(spark, docs, FOLDER)
+    assert kept.columns == docs.columns and kept.where("score = 'x'").count() == kept.count() > 0
