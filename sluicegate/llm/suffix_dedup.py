@@ -147,9 +147,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sorted_repeats(rows: DataFrame, name: str) -> DataFrame:
     """Neighbours compared in sorted order: key, also, id, at, size in; the repeated rows and their first id out.
 
-    A key with over a thousandth of all rows (there are a thousand such at most, so they may be literals)
+    A key with over a thousandth of all rows (there are a thousand such at most, so they go to the driver)
     would be one task's work: its least and greatest id come from partial aggregation instead, and its rows
-    stay where they are.
+    stay where they are and are told the first.
     """
     rows = staged(rows, name)
     most = max(HOT_ROWS, rows.count() // 1000)
@@ -158,8 +158,16 @@ def _sorted_repeats(rows: DataFrame, name: str) -> DataFrame:
     out = map_arrow(cold.repartition("key").sortWithinPartitions("key", "also", "id", "at"), _repeated, "id long, at int, size int, first long")
     if hot:
         warm = rows.where(F.col("key").isin(hot))
-        ends = staged(warm.groupBy("key", "also").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), f"{name}-hot")
-        out = out.unionAll(warm.join(sized(ends), ["key", "also"]).select("id", "at", "size", "first"))
+        ends = warm.groupBy("key", "also").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").collect()
+        shared = rows.sparkSession.sparkContext.broadcast({(r["key"], r["also"]): r["first"] for r in ends})
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first = [shared.value.get(k) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                given = pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(first, pa.int64())], ["id", "at", "size", "first"])
+                yield given.filter(given.column(3).is_valid())
+
+        out = out.unionAll(map_arrow(warm, told, "id long, at int, size int, first long"))
     return out
 
 
