@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the
 columns of `documents`. run() writes every stage's rows as Parquet into the shared folder and reads them for the next.
 
-Null or empty tables and texts, repeated rows and extra columns go through as the operators define; a
-text that is null or has no letter goes in the first stage.
+Null or empty tables and texts, very long texts, ties, repeated rows and extra columns of any name go through as the
+operators define; a text that is null or has no letter goes in the first stage.
 """
 
 from __future__ import annotations
