@@ -36,19 +36,25 @@ def _apart(df: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return build(df.where(fine)).unionByName(df.where(~fine), allowMissingColumns=True)
 
 
-def with_position(df: DataFrame, name: str = "position", keys: tuple[str, ...] = (), block_seconds: float | None = None) -> DataFrame:
-    """Rows before each one in order of (t, seq), within `keys` if there are any.
+def with_position(df: DataFrame, name: str = "position", keys: tuple[str, ...] = (), block_seconds: float | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Rows before each one in order of (t, seq), within `keys` if there are any; rows of null keys are a key as well.
 
-    Rows are numbered inside time blocks; only the table of block sizes is ordered as a whole.
+    Rows are numbered inside time blocks; only the table of block sizes is ordered as a whole. `source`, a frame of the
+    same rows that costs less than `df`, is counted in its place.
     """
     block_seconds = block_seconds or (KEY_BLOCK_SECONDS if keys else BLOCK_SECONDS)
-    block = F.floor(F.col("t") / block_seconds).alias("__block")
-    sizes = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(*keys, "__block").orderBy("t", "seq")
-    numbered = df.withColumn("__block", F.floor(F.col("t") / block_seconds)).withColumn("__row", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, [*keys, "__block"]).withColumn(name, F.col("__offset") + F.col("__row")).drop("__block", "__row", "__offset")
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("__block", F.floor(F.col("t") / block_seconds))
+        return rows.withColumn("__key", F.struct(*keys)) if keys else rows  # structs of nulls are equal, so joins keep them
+
+    by = ["__key"] if keys else []
+    sizes = blocked(df if source is None else source).groupBy(*by, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(*by, "__block").orderBy("t", "seq")
+    numbered = blocked(df).withColumn("__row", F.row_number().over(inside) - 1)
+    return numbered.join(offsets, [*by, "__block"]).withColumn(name, F.col("__offset") + F.col("__row")).drop("__key", "__block", "__row", "__offset")
 
 
 def _ewma_global(df: DataFrame, name: str = "ewma_global", decay: float = DECAY, position: str | None = None) -> DataFrame:
@@ -74,17 +80,31 @@ def _ewma_global(df: DataFrame, name: str = "ewma_global", decay: float = DECAY,
     return rows.withColumn(name, value).drop(*drop)
 
 
-def _count_window(df: DataFrame, name: str = "count_window", seconds: float = WINDOW_SECONDS) -> DataFrame:
+def _count_window(df: DataFrame, name: str = "count_window", seconds: float = WINDOW_SECONDS, position: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Events before each one whose time is later than t - seconds (the left edge is out).
 
-    Each event stands in the bucket of its time and, as history, in the next; every bucket is counted by itself.
+    Each event stands in the block of its time and, as history, in the next if that looks back so far; every block is
+    counted by itself. With `position`, the column of that name tells the rows before each one, from the same blocks;
+    `source` is as in with_position.
     """
-    bucket = F.floor(F.col("t") / seconds)
-    both = df.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__bucket", bucket + F.col("__copy"))
-    ordered = Window.partitionBy("__bucket").orderBy("t", "seq")
-    old = F.expr(f"count(1) OVER (PARTITION BY __bucket ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {float(seconds)!r}D PRECEDING)")
-    counted = both.withColumn(name, F.row_number().over(ordered) - 1 - old)
-    return counted.where("__copy = 0").drop("__copy", "__bucket")
+    length = max(BLOCK_SECONDS, seconds)
+    block = F.floor(F.col("t") / length)
+    copies = F.when(F.col("t") >= (block + 1) * length - seconds, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    both = df.withColumn("__copy", F.explode(copies)).withColumn("__block", block + F.col("__copy"))
+    ordered = Window.partitionBy("__block").orderBy("t", "seq")
+    old = F.expr(f"count(1) OVER (PARTITION BY __block ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND {float(seconds)!r}D PRECEDING)")
+    counted = both.withColumn("__row", F.row_number().over(ordered) - 1)
+    if position:
+        # History comes before all of a block's own events.
+        history = F.sum("__copy").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counted = counted.withColumn("__own", F.col("__row") - history)
+    counted = counted.withColumn(name, F.col("__row") - old).where("__copy = 0").drop("__copy", "__row")
+    if not position:
+        return counted.drop("__block")
+    sizes = (df if source is None else source).groupBy(block.alias("__block")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    return counted.join(offsets, "__block").withColumn(position, F.col("__offset") + F.col("__own")).drop("__block", "__own", "__offset")
 
 
 def _ewma_account(df: DataFrame, name: str = "ewma_account", decay: float = DECAY, position: str | None = None) -> DataFrame:
@@ -92,15 +112,15 @@ def _ewma_account(df: DataFrame, name: str = "ewma_account", decay: float = DECA
     own = position or "__p"
     length = max(2, int(100 / -log(decay)))
     rows = df if position else with_position(df, own, ("account",))
-    rows = rows.withColumn("__b", F.floor(F.col(own) / length)).withColumn("__k", F.col(own) % length)
+    rows = rows.withColumn("__key", F.struct("account")).withColumn("__b", F.floor(F.col(own) / length)).withColumn("__k", F.col(own) % length)
     share = F.when(F.col(own) == 0, F.col("amount")).otherwise((1 - decay) * F.col("amount")) * F.pow(F.lit(1 / decay), F.col("__k"))
-    inside = Window.partitionBy("account", "__b").orderBy("__k")
+    inside = Window.partitionBy("__key", "__b").orderBy("__k")
     rows = rows.withColumn("__past", F.sum(share).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = rows.groupBy("account", (F.col("__b") + 1).alias("__b")).agg((F.sum(share) * F.pow(F.lit(decay), F.max("__k"))).alias("__carry"))
-    rows = rows.join(ends, ["account", "__b"], "left")
+    ends = rows.groupBy("__key", (F.col("__b") + 1).alias("__b")).agg((F.sum(share) * F.pow(F.lit(decay), F.max("__k"))).alias("__carry"))
+    rows = rows.join(ends, ["__key", "__b"], "left")
     local = F.coalesce(F.col("__past") * F.pow(F.lit(decay), F.col("__k") - 1), F.lit(0.0))
     carried = F.coalesce(F.col("__carry") * F.pow(F.lit(decay), F.col("__k")), F.lit(0.0))
-    drop = ["__b", "__k", "__past", "__carry"] + ([] if position else [own])
+    drop = ["__key", "__b", "__k", "__past", "__carry"] + ([] if position else [own])
     return rows.withColumn(name, F.when(F.col(own) == 0, F.col("amount")).otherwise(local + carried)).drop(*drop)
 
 
@@ -137,11 +157,12 @@ def _footprint(df: DataFrame, prior: dict[str, float], name: str = "footprint",
     return rows.withColumn(name, F.when(F.size("__h") < least, known).otherwise(same / F.size("__h"))).drop("__h")
 
 
-def _expanding_frequency(df: DataFrame, n_categories: int, name: str = "category_frequency", position: str | None = None) -> DataFrame:
-    """(earlier events of the category + 1) / (earlier events + n_categories)."""
+def _expanding_frequency(df: DataFrame, n_categories: int, name: str = "category_frequency", position: str | None = None, source: DataFrame | None = None) -> DataFrame:
+    """(earlier events of the category + 1) / (earlier events + n_categories); null is a category as well."""
     own = position or "__position"
-    rows = df if position else with_position(df, own)
-    rows = with_position(rows, "__same", ("category",))
+    source = df if source is None else source
+    rows = df if position else with_position(df, own, source=source)
+    rows = with_position(rows, "__same", ("category",), source=source)
     return rows.withColumn(name, (F.col("__same") + 1) / (F.col(own) + n_categories)).drop("__same", *([] if position else [own]))
 
 
@@ -180,7 +201,7 @@ def hour_utc(name: str = "t") -> Column:
 
 def linear_features(df: DataFrame, seconds: float = WINDOW_SECONDS, decay: float = DECAY) -> DataFrame:
     """The features of the linear policy, ewma_global and count_window, and `invalid`: null features, no part in state."""
-    return _apart(df, lambda rows: _count_window(_ewma_global(rows, decay=decay), seconds=seconds)).withColumn("invalid", F.col("count_window").isNull())
+    return _apart(df, lambda rows: _ewma_global(_count_window(rows, seconds=seconds, position="__at"), decay=decay, position="__at").drop("__at")).withColumn("invalid", F.col("count_window").isNull())
 
 
 def account_features(df: DataFrame, prior: dict[str, float], seconds: float = WINDOW_SECONDS, decay: float = DECAY, position: str | None = None) -> DataFrame:
@@ -189,9 +210,12 @@ def account_features(df: DataFrame, prior: dict[str, float], seconds: float = WI
     And `invalid`, as in linear_features. `position`, if given, counts the valid events before each.
     """
 
-    def build(rows: DataFrame) -> DataFrame:
-        rows = _count_window(_expanding_frequency(rows, max(len(prior), 1), position=position), seconds=seconds)
-        rows = with_position(rows, "__own", ("account",))
-        return _footprint(_ewma_account(rows, decay=decay, position="__own"), prior, position="__own").drop("__own").withColumn("hour", hour_utc())
+    def build(source: DataFrame) -> DataFrame:
+        # What needs its input twice comes first, while that is cheap; all sizes are counted from the source.
+        rows = _ewma_account(with_position(source, "__own", ("account",)), decay=decay, position="__own")
+        rows = _footprint(rows, prior, position="__own").drop("__own")
+        rows = _count_window(rows, seconds=seconds, position=None if position else "__at", source=source)
+        rows = _expanding_frequency(rows, max(len(prior), 1), position=position or "__at", source=source)
+        return rows.drop("__at").withColumn("hour", hour_utc())
 
     return _apart(df, build).withColumn("invalid", F.col("count_window").isNull())

@@ -58,9 +58,11 @@ def plain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prior(rows: DataFrame) -> tuple[DataFrame, dict[str, float]]:
-    placed = feats.with_position(rows.where(feats.valid(rows)))
-    first, _ = splits.split_bounds(placed.count())
-    return placed, {r["category"]: r["prior"] for r in feats.category_prior(placed.where(F.col("position") < first)).collect()}
+    """The valid rows, and the categories' shares in the training part of them."""
+    fine = rows.where(feats.valid(rows))
+    placed = feats.with_position(fine, source=fine)
+    first, _ = splits.split_bounds(fine.count())
+    return fine, {r["category"]: r["prior"] for r in feats.category_prior(placed.where(F.col("position") < first)).collect()}
 
 
 def _round(name: str, digits: int = 6):
@@ -133,14 +135,14 @@ def feat_ewma_account(spark, sf_dir):
 
 @register(f"WITH {POS}, {PRIOR}, h AS (SELECT seq, category, {FOOT} AS h FROM ev) SELECT seq, round(CASE WHEN len(coalesce(h.h, [])) < 5 THEN coalesce(prior, 0) ELSE len(list_filter(h.h, lambda c: c = category)) / len(h.h)::DOUBLE END, 6) AS footprint FROM h LEFT JOIN prior USING (category)")
 def feat_footprint(spark, sf_dir):
-    placed, prior = _prior(events(spark, sf_dir))
-    return feats.footprint(placed, prior).select("seq", _round("footprint"))
+    rows, prior = _prior(events(spark, sf_dir))
+    return feats.footprint(rows, prior).select("seq", _round("footprint"))
 
 
 @register(f"WITH {POS}, {PRIOR} SELECT seq, round(row_number() OVER (PARTITION BY category ORDER BY t, seq) / (position + (SELECT count(*) FROM prior))::DOUBLE, 6) AS category_frequency FROM pos")
 def feat_expanding_freq(spark, sf_dir):
-    placed, prior = _prior(events(spark, sf_dir))
-    return feats.expanding_frequency(placed, len(prior), position="position").select("seq", _round("category_frequency"))
+    rows, prior = _prior(events(spark, sf_dir))
+    return feats.expanding_frequency(rows, len(prior)).select("seq", _round("category_frequency"))
 
 
 @register(f"WITH {POS}, {PRIOR} SELECT category, c AS n, round(prior, 6) AS prior FROM prior")
@@ -159,8 +161,8 @@ def feat_hour(spark, sf_dir):
     f"WITH RECURSIVE {POS}, {PRIOR}, {APOS}, {AEWMA}, h AS (SELECT *, {FOOT} AS h, {CNT} AS count_window FROM pos) SELECT h.seq, h.amount, {HOUR} AS hour, count_window, round(ra.f, 6) AS ewma_account, round(CASE WHEN len(coalesce(h.h, [])) < 5 THEN coalesce(prior, 0) ELSE len(list_filter(h.h, lambda c: c = category)) / len(h.h)::DOUBLE END, 6) AS footprint, round(row_number() OVER (PARTITION BY category ORDER BY t, h.seq) / (position + (SELECT count(*) FROM prior))::DOUBLE, 6) AS category_frequency FROM h JOIN ra ON ra.seq = h.seq LEFT JOIN prior USING (category)"
 )
 def feat_all(spark, sf_dir):
-    placed, prior = _prior(events(spark, sf_dir))
-    return feats.account_features(placed, prior, SECONDS, position="position").select("seq", "amount", "hour", "count_window", _round("ewma_account"), _round("footprint"), _round("category_frequency"))
+    rows, prior = _prior(events(spark, sf_dir))
+    return feats.account_features(rows, prior, SECONDS).select("seq", "amount", "hour", "count_window", _round("ewma_account"), _round("footprint"), _round("category_frequency"))
 
 
 @register(f"WITH {POS} SELECT CASE WHEN position < CAST(floor(n * 0.6) AS BIGINT) THEN 'train' WHEN position < CAST(floor(n * 0.8) AS BIGINT) THEN 'val' ELSE 'test' END AS split, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(label) AS BIGINT) AS positives FROM pos, n GROUP BY 1")
@@ -568,8 +570,8 @@ SIX = f"{POS}, {PRIOR}, {APOS}, {AEWMA}, h AS (SELECT *, {FOOT} AS h, {CNT} AS c
 )
 def decide_table_full(spark, sf_dir):
     """The table policy's whole path: six features, lookup, calibration, veto."""
-    placed, prior = _prior(events(spark, sf_dir))
-    rows = with_table_score(feats.account_features(placed, prior, SECONDS, position="position"), FULL, "s")
+    rows, prior = _prior(events(spark, sf_dir))
+    rows = with_table_score(feats.account_features(rows, prior, SECONDS), FULL, "s")
     return decide(rows, F.col("s"), FULL.threshold, LIMIT).select("seq", _round("score"), "decision_type", "suspicious")
 
 

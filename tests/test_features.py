@@ -121,6 +121,31 @@ def test_history_across_blocks(spark, monkeypatch):
         past[r[2]].append(r[3])
 
 
+def test_null_keys_keep_their_rows(spark):
+    """A null account and a null category are keys like any other, in every block."""
+    rows = [(k, k * 500.0, None if k % 2 else 1, None if k % 3 else "a", float(k)) for k in range(30)]
+    got = f.account_features(frame(spark, rows), {"a": 0.5}, decay=0.5).orderBy("seq").collect()
+    assert [r["seq"] for r in got] == list(range(30))
+    states, seen = {None: AccountState({}, 0.5), 1: AccountState({}, 0.5)}, {None: 0, "a": 0}
+    for k, (r, (_, t, account, category, amount)) in enumerate(zip(got, rows, strict=True)):
+        assert r["ewma_account"] == pytest.approx(states[account].read(amount, category)[0])
+        assert r["category_frequency"] == pytest.approx((seen[category] + 1) / (k + 1))
+        states[account].update(amount, category, t)
+        seen[category] += 1
+
+
+def test_counts_and_positions_of_one_exchange(spark):
+    """Counts and positions against brute force: ties, block edges, windows shorter and longer than a block."""
+    rng = np.random.default_rng(9)
+    t = np.sort(np.r_[rng.uniform(-3000, 3000, 300), np.repeat([-600.0, 0.0, 540.0, 600.0, 1200.0], 4), np.arange(0, 1500, 60.0)])
+    df = frame(spark, [(k, float(x), 1, "a", 1.0) for k, x in enumerate(t)])
+    for seconds in (60.0, 600.0, 1500.0):
+        got = f._count_window(df, seconds=seconds, position="place").orderBy("seq").collect()
+        assert [r["place"] for r in got] == list(range(len(t)))
+        assert [r["count_window"] for r in got] == [int(((t[:k] > x - seconds)).sum()) for k, x in enumerate(t)]
+        assert by_seq(f.count_window(df, seconds=seconds), "count_window") == [r["count_window"] for r in got]
+
+
 def test_invalid_events_never_enter_state(spark):
     nan = float("nan")
     rows = [(0, 0.0, 1, "a", 10.0), (1, 1.0, 1, "a", nan), (2, 2.0, 1, "a", 10.0), (3, 3.0, 1, "b", None), (4, nan, 1, "a", 5.0), (5, 4.0, 1, "a", 20.0), (6, 5.0, 1, "a", 20.0)]
