@@ -49,3 +49,9 @@ def isotonic(x: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """a / b as SQL engines of IEEE numbers have it: where b is 0, infinite with the sign of a, or NaN if a is 0 as well."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))

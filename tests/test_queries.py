@@ -16,6 +16,19 @@ def test_query(spark, oracle, same_rows, name):
         assert same_rows(got, oracle("sf0.001").sql(engine.oracle_sql()[name]).df())
 
 
+@pytest.mark.parametrize("name", ["zscore_detector"])
+@pytest.mark.parametrize("first", [7, 400])
+def test_reference_without_spread(spark, tmp_path, same_rows, name, first):
+    """All reference events in one hour (the other events in all): divisions by no spread are those of the SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    moved = "CASE WHEN event_id < 400 THEN TIMESTAMP '2024-01-01 05:00:00' + to_seconds(event_id) ELSE ts END"
+    con.sql(f"COPY (SELECT * REPLACE ({moved} AS ts) FROM '{DATA}/events.parquet' WHERE event_id < {first} OR event_id >= 400) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert same_rows(engine.queries()[name](spark, str(tmp_path)).toPandas(), con.sql(engine.oracle_sql()[name]).df())
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
