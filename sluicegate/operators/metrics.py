@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import safe_ratio
+from ..functions.numeric import ieee_ratio, safe_ratio
 from .quantiles import exact_quantiles
 
 #: Buckets of scores: between approximate quantiles of the distinct scores, so that crowded scores are spread as well.
@@ -149,7 +149,7 @@ def precision_at_prevalence(df: DataFrame, score: str, label: str, prevalence: f
 
 
 def alarm_rates(df: DataFrame, fired: str, label: str) -> DataFrame:
-    """f1, far (false alarms among negatives) and mar (missed among positives)."""
+    """f1, far (false alarms among negatives) and mar (missed among positives); NaN where there is nothing to divide by."""
     f, y = F.col(fired), F.col(label) == 1
     out = df.agg(F.count_if(f & y).alias("tp"), F.count_if(f & ~y).alias("fp"), F.count_if(~f & y).alias("fn"), F.count_if(~f & ~y).alias("tn"))
-    return out.select(safe_ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), safe_ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("far"), safe_ratio(F.col("fn"), F.col("fn") + F.col("tp")).alias("mar"))
+    return out.select(ieee_ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), ieee_ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("far"), ieee_ratio(F.col("fn"), F.col("fn") + F.col("tp")).alias("mar"))

@@ -131,3 +131,10 @@ def test_crowded_scores_are_spread(spark):
     got = {r["score"]: (r["tp"], r["fp"]) for r in metrics.cumulative(table).collect()}
     for v in (s[0], s[77], 1.0):
         assert got[v] == ((y[s >= v] == 1).sum(), (y[s >= v] == 0).sum())
+
+
+def test_alarm_rates_of_one_class(spark):
+    """A rate without anything to divide by is NaN, as in the query's SQL."""
+    rows = spark.createDataFrame([(True, 0), (False, 0)], "fired boolean, label int")
+    got = metrics.alarm_rates(rows, "fired", "label").first()
+    assert (got["f1"], got["far"]) == (0.0, 0.5) and math.isnan(got["mar"])
