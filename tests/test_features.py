@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sluicegate.operators import features as f
+from sluicegate.streaming import stateful
 from sluicegate.streaming.stateful import AccountState, GlobalState
 
 SCHEMA = "seq long, t double, account long, category string, amount double"
@@ -161,3 +163,36 @@ def test_invalid_events_never_enter_state(spark):
     assert [(r["ewma_account"], r["footprint"]) for r in got if not r["invalid"]] == want
     for one in (f.ewma_account, f.ewma_global, f.count_window):
         assert one(frame(spark, rows)).count() == len(rows)
+
+
+def test_state_of_a_crowded_stream(spark):
+    """Many events at once give what they give one by one, over saved state as well; the cost does not grow with the window."""
+    rng = np.random.default_rng(3)
+    n = 40_000
+    t, x = np.sort(np.round(rng.uniform(0, 5000, n), 1)), rng.exponential(50, n)
+    c = [[None, "a", "b", "c"][k] for k in rng.integers(0, 4, n)]
+    one, many, got = GlobalState(3, 3600.0), GlobalState(3, 3600.0), []
+    for a, b in ((0, 0), (0, 1), (1, 25_000), (25_000, n)):
+        many = GlobalState(3, 3600.0, saved=many.saved())
+        got += zip(*(v.tolist() for v in many.run(x[a:b], pd.Series(c[a:b], dtype=object), t[a:b])), strict=True)
+    for k in range(n):
+        assert got[k] == one.read(x[k], c[k], t[k])
+        one.update(x[k], c[k], t[k])
+    assert (many.saved()[:4], many.counts, many.total) == (one.saved()[:4], one.counts, one.total)
+
+
+def test_global_stream_in_two_batches(spark, tmp_path):
+    rows = [(k, float(k // 3), 1, [None, "a", "b"][k % 3], float(k % 7)) for k in range(600)]
+    bad = [(900, 0.0, 1, "a", 5.0), (901, 1e6, 1, "a", None), (902, 1.0, 1, "a", float("inf")), (903, None, 1, "a", 1.0)]
+    df = frame(spark, rows)
+    for k, part in enumerate((df.where("seq < 350"), df.where("seq >= 350").unionAll(frame(spark, bad)))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stateful.global_features(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 2, 50.0)
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["seq"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 604
+    assert [(got[k]["late"], got[k]["invalid"], got[k]["count_window"]) for k in range(900, 904)] == [(True, False, None), (False, True, None), (True, True, None), (False, True, None)]
+    state = GlobalState(2, 50.0)
+    for k, t, _, c, x in rows:
+        assert (got[k]["ewma_global"], got[k]["count_window"], got[k]["category_frequency"]) == state.read(x, c, t)
+        state.update(x, c, t)
