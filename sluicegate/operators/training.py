@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..plans.policy import LinearPolicy, TablePolicy, TreesPolicy
 from ..schema import InvalidDataset
+from ..session import scratch_dir
 from . import features as feats
 from . import metrics, splits
 from .decisions import linear_score, with_table_score
@@ -26,6 +27,8 @@ UNSTABLE = ("category_frequency",)
 MAX_CELLS = 5_000_000
 #: Boosting stops early beyond so many rows: a tenth is held out, and PATIENCE rounds must lower its loss by more than TOLERANCE.
 EARLY_ROWS, PATIENCE, TOLERANCE = 10_000, 10, 1e-7
+#: Rows of one partition while boosting: a round is some six small stages, whose cost is that of their tasks.
+BOOST_ROWS = 32_768
 
 
 def _now() -> str:
@@ -152,11 +155,16 @@ def fit_boosted(train: DataFrame, features: list[str], label: str = "label", ite
     """Boosted trees with balanced weights, stopped early beyond EARLY_ROWS rows.
 
     MLlib's own stopping ends at the first round that gains nothing, so all rounds are fitted and those after the stop dropped.
+    The rounds' lineage is cut by checkpoints, in the scratch folder where the context has no other.
     """
     n, pos = class_counts(train, label, "training")
     rows = _weights(train.select(F.col(label).cast("double").alias("__y"), *(F.col(f).cast("double").alias(f) for f in features)), "__y", n, pos)
     held = (F.pmod(F.xxhash64(*features), F.lit(10)) == 0) if n > EARLY_ROWS else F.lit(False)
-    vector = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows.withColumn("__held", held)).persist()
+    vector = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip").transform(rows.withColumn("__held", held))
+    vector = vector.select("__y", "__w", "__x", "__held").repartition(-(-n // BOOST_ROWS)).persist()
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{scratch_dir(train.sparkSession)}/boosting")
     try:
         boosting = GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=iterations, maxDepth=depth, stepSize=rate, maxBins=bins, seed=seed)
         model = boosting.fit(vector.where(~F.col("__held")))

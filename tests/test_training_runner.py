@@ -85,6 +85,20 @@ def test_rounds_kept():
     assert training.rounds_kept([*falling[:15], 0.9, *falling[15:]]) == 31  # one bad round does not end it
 
 
+def test_boosting_stages_are_sized_by_rows(spark, monkeypatch):
+    """Each of the hundreds of small stages has as many tasks as its rows ask for, and lineage is cut."""
+    seen, fit = [], training.GBTClassifier.fit
+
+    def fitted(self, df):
+        seen.append((df.rdd.getNumPartitions(), df.count()))
+        return fit(self, df)
+
+    monkeypatch.setattr(training.GBTClassifier, "fit", fitted)
+    monkeypatch.setattr(training, "BOOST_ROWS", 500)
+    training.fit_boosted(stream_rows(spark, 800).repartition(40), ["amount"], iterations=2)
+    assert seen == [(2, 800)] and spark.sparkContext.getCheckpointDir()
+
+
 def test_boosted_query_is_whole(spark, monkeypatch):
     from sluicegate.plans import queries as engine
 
