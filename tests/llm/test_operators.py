@@ -311,6 +311,32 @@ def test_search_counts_very_frequent_words(spark):
     assert got == pytest.approx(want, abs=1.5e-6)
 
 
+def test_search_reads_rare_postings_once(monkeypatch):
+    """Rare terms are added up in one pass over their postings, whatever the threshold; results are those of all scores."""
+    rng = np.random.default_rng(6)
+    docs, terms = 500, 900
+    held = rng.random((terms, docs)) < np.where(np.arange(terms) < 40, 0.4, 0.01)[:, None]
+    held[:, 0] = True
+    term, doc = np.nonzero(held)
+    tf = rng.integers(1, 5, len(term))
+    length = np.bincount(doc, tf, docs).astype(np.int64)
+    cells = {"ids": np.arange(docs) * 3, "lengths": length, "terms": np.arange(terms), "counts": held.sum(axis=1).astype(np.int32), "posting_docs": doc.astype(np.int32), "posting_tf": tf.astype(np.uint32)}
+    shard = topk_search.Shard({k: v.tobytes() for k, v in cells.items()}, length.mean(), 1.2, 0.75)
+    idf, calls, count = rng.uniform(0.1, 3, terms), [], np.bincount
+    score = np.zeros((terms, docs))
+    score[term, doc] = idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[doc] / length.mean()))
+    asked = [np.sort(rng.choice(terms, 120, replace=False)) for _ in range(20)]
+    want = []
+    for q, t in enumerate(asked):
+        whole = np.round(score[t].sum(axis=0), 6)
+        want += [(q, d * 3, whole[d]) for d in np.lexsort((np.arange(docs), -whole))[:10].tolist()]
+    monkeypatch.setattr(topk_search.np, "bincount", lambda *a: calls.append(1) or count(*a))
+    at = np.arange(0, 20 * 120 + 1, 120)
+    got = shard.search_all(at, np.concatenate(asked), np.concatenate([idf[t] for t in asked]), 10, np.zeros(20))
+    assert [(q, d) for q, d, _ in zip(*got, strict=True)] == [(q, d) for q, d, _ in want]
+    assert got[2] == pytest.approx([s for _, _, s in want], abs=2e-6) and len(calls) == 1
+
+
 def test_search_odd_rows(spark):
     got = topk_search.search(odd_docs(spark), F.lit(True), k=3).collect()
     assert {r.query_id for r in got} == {4, 5, 6, 7, 8, 9, 10}
