@@ -337,6 +337,33 @@ def test_search_reads_rare_postings_once(monkeypatch):
     assert got[2] == pytest.approx([s for _, _, s in want], abs=2e-6) and len(calls) == 1
 
 
+@pytest.mark.parametrize("pad, cached", [(8, 32_768), (4, 4), (3, 50)])
+def test_search_of_padded_postings(monkeypatch, pad, cached):
+    """Postings in padded rows, terms given once and a code of each query's terms: the results are those of all scores."""
+    monkeypatch.setattr(topk_search, "PAD", pad)
+    monkeypatch.setattr(topk_search, "CACHED", cached)
+    rng = np.random.default_rng(7)
+    docs, terms = 300, 500
+    held = rng.random((terms, docs)) < rng.choice([0.002, 0.02, 0.3], terms)[:, None]
+    term, doc = np.nonzero(held)
+    tf = rng.integers(1, 5, len(term))
+    length = np.bincount(doc, tf, docs).astype(np.int64)
+    known = np.flatnonzero(held.any(axis=1))
+    cells = {"ids": np.arange(docs), "lengths": length, "terms": known, "counts": held.sum(axis=1)[known].astype(np.int32), "posting_docs": doc.astype(np.int32), "posting_tf": tf.astype(np.uint32)}
+    shard = topk_search.Shard({k: v.tobytes() for k, v in cells.items()}, length.mean(), 1.2, 0.75)
+    idf = rng.uniform(0.1, 3, terms)
+    score = np.zeros((terms, docs))
+    score[term, doc] = idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[doc] / length.mean()))
+    asked = [np.sort(rng.choice(terms, n, replace=False)) for n in (1, 3, 200, 40, 90)]
+    want = []
+    for q, t in enumerate(asked):
+        whole = np.round(score[t].sum(axis=0), 6)
+        want += [(q, d, pytest.approx(whole[d], abs=2e-6)) for d in np.lexsort((np.arange(docs), -whole))[:10].tolist() if whole[d] > 0]
+    at = np.cumsum([0] + [len(t) for t in asked])
+    got = shard.search_all(at, np.arange(terms), idf, 10, np.zeros(len(asked)), np.concatenate(asked))
+    assert list(zip(*got, strict=True)) == want
+
+
 def test_search_odd_rows(spark):
     got = topk_search.search(odd_docs(spark), F.lit(True), k=3).collect()
     assert {r.query_id for r in got} == {4, 5, 6, 7, 8, 9, 10}
